@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import decode
 from ..functions.numeric import round_probability
-from ..functions.probabilities import argmax, confidence, linear_logits, softmax, top_classes
+from ..functions.probabilities import argmax, confidence, linear_softmax, top_classes
 from ..schema import ident
 from .transforms import skew_log, standardized
 
@@ -43,10 +43,6 @@ def feature_vector(inputs: list[Column]) -> Column:
     return array_to_vector(F.array(*inputs))
 
 
-def linear_probabilities(inputs: list[Column], weights: list[list[float]], bias: list[float]) -> Column:
-    return softmax(linear_logits(inputs, weights, bias))
-
-
 def fine_prediction(df: DataFrame, proba: str, predicted_index: Column, classes: list[str], keep: list[str], rounded: bool = True) -> DataFrame:
     """Predicted class, its confidence and the three most probable classes."""
     p = F.col(proba)
@@ -117,7 +113,7 @@ def score_fine_linear(
     keep: list[str], rounded: bool = True,
 ) -> DataFrame:
     """Fine predictions from a plain weight matrix, without a model object."""
-    scored = df.withColumn("fine_proba", linear_probabilities(prep.inputs(), weights, bias))
+    scored = df.withColumn("fine_proba", linear_softmax(prep.inputs(), weights, bias))
     return fine_prediction(scored, "fine_proba", argmax(F.col("fine_proba")), classes, keep, rounded)
 
 
@@ -128,8 +124,8 @@ def score_coarse_linear(
 ) -> DataFrame:
     inputs = prep.inputs()
     scored = df.withColumns({
-        "binary_proba": linear_probabilities(inputs, binary[0], binary[1]),
-        "family_proba": linear_probabilities(inputs, family[0], family[1]),
+        "binary_proba": linear_softmax(inputs, binary[0], binary[1]),
+        "family_proba": linear_softmax(inputs, family[0], family[1]),
     })
     return coarse_prediction(
         scored, ("binary_proba", argmax(F.col("binary_proba")), binary[2]),

@@ -10,6 +10,30 @@ from ..schema import CLASSES_FINE, FEATURES_FINE, LABEL
 
 ROW_ID = "flow_id"
 
+# Below this size a table may sit in one row group, which only one task reads.
+SMALL_BYTES = 1 << 30
+
+_sizes: dict[tuple[str, str], int] = {}
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _sizes:
+        _sizes[key] = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return _sizes[key]
+
+
+def spread(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Deal the rows of a small file to all cores; leave a large table alone.
+
+    A large table has enough row groups to read in parallel, and shuffling it
+    only to spread it would cost more than it gains.
+    """
+    spark = df.sparkSession
+    if _bytes(spark, path) > SMALL_BYTES:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism, *keys)
+
 
 def _one_if(condition: Column) -> Column:
     return F.when(condition, 1.0).otherwise(0.0)
@@ -21,7 +45,8 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     One row per line item. All columns are plain expressions over one
     three-way join, so a query reads only the columns it asks for.
     """
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    path = f"{sf_dir}/lineitem.parquet"
+    lineitem = spread(spark.read.parquet(path), path, ["l_orderkey", "l_linenumber"])
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_retailprice")
     joined = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(

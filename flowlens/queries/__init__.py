@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cleaning  # noqa: F401
+from . import aggregates, cleaning, samples, scores, storage  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import decode, derive_labels, encode, is_attack
@@ -14,7 +14,7 @@ from ..operators.sanitize import (
 )
 from ..operators.transforms import apply_log, apply_scaler, fit_log_shifts, fit_scaler, log_minimums, scaler_values
 from ..plans.flows import ROW_ID, flows
-from ..schema import CLASSES_FINE, FEATURES_COARSE, FEATURES_FINE, LABEL, LOG_FEATURES, REDUNDANT_FEATURES, ident
+from ..schema import CLASSES_FINE, FEATURES_COARSE, FEATURES_FINE, LABEL, LOG_FEATURES, ident
 from .common import (
     clean_cte, feature_profile, fine_preprocessing, finite_sql, labelled, log_sql, profile_sql, scaler_cte,
 )
@@ -295,8 +295,6 @@ def rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f07_share_of_total", over_flows("""
 SELECT split, CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) * 100 AS pct FROM flows GROUP BY split"""))
 def share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     counts = flows(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("split", percent(F.col("n"), F.sum("n").over(Window.partitionBy())).alias("pct"))
 
@@ -311,6 +309,3 @@ SELECT count(*) FILTER (invalid > 0) AS rows_adjusted, CAST(sum(invalid) AS BIGI
 def adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = adjustment_summary(sanitize(_untidy(spark, sf_dir), FEATURES_COARSE, COARSE_LABELS))
     return summary.select("rows_adjusted", "invalid_values_replaced", F.array_join("missing_features_filled", ",").alias("missing"))
-
-
-assert not set(REDUNDANT_FEATURES) & set(FEATURES_COARSE)

@@ -45,9 +45,12 @@ def over_long(width: int) -> Column:
     """True for a record with more fields than its header.
 
     Spark flags every record of a wrong width; shorter ones are legitimate
-    (their missing fields are null), so only flagged records are counted.
+    (their missing fields are null), so only flagged records are counted. The
+    first column takes part because Spark refuses to read the record text
+    without any data column.
     """
-    return F.col(_CORRUPT).isNotNull() & (_fields_in(F.col(_CORRUPT)) > width)
+    flagged = F.col(_CORRUPT).isNotNull() & (F.length(F.concat_ws("", F.col("c0"), F.col(_CORRUPT))) > 0)
+    return flagged & (_fields_in(F.col(_CORRUPT)) > width)
 
 
 def scan(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
