@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..schema import NA_TOKENS
 
-# Texts accepted as numbers; anything else (such as "1.5f" or "1,2") is not.
-_NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
+# Letters of number spellings that Java reads but flow files do not mean:
+# hexadecimal floats and the type suffixes of "1.5f" or "2d".
+_FOREIGN = "[xXdDfFpP]"
+_INFINITY = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 
 
 def finite(c: Column) -> Column:
-    """The value, or null when it is infinite or NaN."""
-    return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), None).otherwise(c)
+    """The value, or null when it is infinite or NaN (which sorts above infinity)."""
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
 def is_infinite(c: Column) -> Column:
@@ -31,8 +33,17 @@ def text_or_null(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Text to double; null for anything that is not fully a number."""
-    return F.when(F.lower(c).rlike(_NUMBER), c.try_cast("double"))
+    """Text to double; null for anything that is not fully a number.
+
+    The "no value" tokens are not numbers, so they need no check of their own;
+    "nan" becomes NaN.
+    """
+    return F.when(~c.rlike(_FOREIGN) | c.rlike(_INFINITY), c.try_cast("double"))
+
+
+def to_finite_number(c: Column) -> Column:
+    """As ``to_number``, but null for infinities and NaN."""
+    return F.when(~c.rlike(_FOREIGN), finite(c.try_cast("double")))
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import finite, text_or_null, to_number
+from ..functions.numeric import finite, to_finite_number
 from ..schema import BINARY_LABEL, FAMILY_LABEL, LABEL, ident
 
 FINE_LABELS = [LABEL]
@@ -47,9 +47,9 @@ def missing_features(names: list[str], features: list[str]) -> list[str]:
 
 def _as_number(c: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.StringType):
-        return to_number(text_or_null(c))
+        return to_finite_number(c)
     if isinstance(data_type, (T.NumericType, T.BooleanType)):
-        return c.cast("double")
+        return finite(c.cast("double"))
     return F.lit(None).cast("double")
 
 
@@ -83,7 +83,7 @@ def sanitize(df: DataFrame, features: list[str], labels: list[str] = FINE_LABELS
             columns.append(F.lit(None).cast("double").alias(f))
         else:
             i = usable.index(f)
-            columns.append(finite(_as_number(F.col(f"__{i}"), types[i])).alias(f))
+            columns.append(_as_number(F.col(f"__{i}"), types[i]).alias(f))
     return Sanitized(placed.select(*columns), features, missing)
 
 

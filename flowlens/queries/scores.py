@@ -128,10 +128,11 @@ def _fine_logistic(spark: SparkSession, sf_dir: str) -> Model:
 
 
 def _coarse_logistic(spark: SparkSession, sf_dir: str, label: str):
-    return shared(spark, sf_dir, f"logistic {label}", lambda: train_coarse_logistic(coarse_table(spark, sf_dir), label))
+    return shared(spark, sf_dir, f"logistic {label}", lambda: train_coarse_logistic(coarse_table(spark, sf_dir), label, LOGISTIC_GRID))
 
 
-# Forest settings for the registered queries; the library defaults are larger.
+# Settings for the registered queries; the library defaults are larger.
+LOGISTIC_GRID = [(1e-5, 40), (1e-4, 40), (1e-3, 40)]
 FINE_FOREST = {"numTrees": 30, "maxDepth": 10, "minInstancesPerNode": 10}
 COARSE_FOREST = {"numTrees": 20, "maxDepth": 10, "minInstancesPerNode": 2}
 SEARCH_GRID = {"numTrees": [5, 10], "maxDepth": [4, 6], "minSplit": [2, 5], "minInstancesPerNode": [1, 4]}

@@ -12,7 +12,7 @@ from ..plans.flows import ROW_ID, flows
 from ..schema import CLASSES_FINE, FEATURES_FINE, LABEL, SPLIT, ident
 from ..sources import tables
 from ..sources.csv_files import load_coarse_flows, load_fine_flows, read_scoring_csv
-from ..sources.records import RECORD, read_records, record_features, record_map
+from ..sources.records import read_records, record_features
 from ..workspace import new_path
 from .aggregates import CM_CTE, REPORT_CTE
 from .common import (
@@ -60,8 +60,7 @@ SELECT flow_id, CAST(1 AS BIGINT) AS rows_adjusted, CAST(CAST("AVG" IS NULL AS I
   CASE WHEN "AVG" IS NULL THEN 'AVG' ELSE '' END AS missing, false AS rejected
 FROM flows WHERE "AVG" IS NULL OR isinf("Rate")"""))
 def record_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.text(json_folder(spark, sf_dir)).select(record_map(F.col("value")).alias(RECORD))
-    rows = record_features(lines.withColumn(ROW_ID, F.col(RECORD)[ROW_ID]), FEATURES_FINE, keep=[ROW_ID])
+    rows = record_features(spark.read.text(json_folder(spark, sf_dir)), FEATURES_FINE, keep=[ROW_ID])
     note = F.col("input_adjustments")
     return rows.where(note.isNotNull()).select(
         ROW_ID, note["rows_adjusted"].alias("rows_adjusted"), note["invalid_values_replaced"].alias("invalid_values_replaced"),

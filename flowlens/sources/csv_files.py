@@ -53,15 +53,19 @@ def over_long(width: int) -> Column:
     return flagged & (_fields_in(F.col(_CORRUPT)) > width)
 
 
-def scan(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
-    """Text scan of files that share a header, with positional column names."""
+def scan(spark: SparkSession, paths: list[str], width: int, checked: bool) -> DataFrame:
+    """Text scan of files that share a header, with positional column names.
+
+    A ``checked`` scan parses every field of every record, whatever columns a
+    query needs: with column pruning Spark would not see a wrong width.
+    """
     names = [f"c{i}" for i in range(width)]
-    schema = text_schema([*names, _CORRUPT])
-    return (
-        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT).csv(paths)
-        .withColumn(SOURCE_FILE, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+\.csv)(/|$)", 1))
-    )
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    if checked:
+        names.append(_CORRUPT)
+        reader = reader.option("columnNameOfCorruptRecord", _CORRUPT).option("columnPruning", False)
+    rows = reader.schema(text_schema(names)).csv(paths)
+    return rows.withColumn(SOURCE_FILE, F.regexp_extract(F.col("_metadata.file_path"), r"(?i)([^/]+\.csv)(/|$)", 1))
 
 
 def reject_over_long(df: DataFrame, width: int) -> DataFrame:
@@ -118,7 +122,7 @@ def read_files(
         good = [p for p in group if p not in skipped]
         if not good:
             continue
-        rows = scan(spark, good, len(header))
+        rows = scan(spark, good, len(header), checked=on_bad == "raise")
         if on_bad == "raise":
             rows = reject_over_long(rows, len(header))
         parts.append(_named(rows, list(header), columns))
@@ -134,12 +138,10 @@ def read_files(
 
 
 def _files_with_over_long(spark: SparkSession, paths: list[str], width: int) -> list[str]:
-    rows = spark.read.schema(text_schema([*[f"c{i}" for i in range(width)], _CORRUPT])).option("header", True).option(
-        "columnNameOfCorruptRecord", _CORRUPT
-    ).csv(paths)
+    rows = scan(spark, paths, width, checked=True).withColumn("path", F.col("_metadata.file_path"))
     # At most one row per input file comes back.
-    bad = rows.where(over_long(width)).select(F.col("_metadata.file_path").alias("p")).distinct().collect()
-    found = {r["p"] for r in bad}
+    bad = rows.where(over_long(width)).select("path").distinct().collect()
+    found = {r["path"] for r in bad}
     return [p for p in paths if p in found]
 
 
@@ -147,7 +149,7 @@ def typed_flows(df: DataFrame, features: list[str] = FEATURES_FINE, label: str =
     """Declared types on text columns: features as doubles (absent or bad ones
     null), the label with its "no value" tokens as null."""
     columns = [
-        (to_number(text_or_null(F.col(ident(f)))) if f in df.columns else F.lit(None).cast("double")).alias(f)
+        (to_number(F.col(ident(f))) if f in df.columns else F.lit(None).cast("double")).alias(f)
         for f in features
     ]
     extra = [SOURCE_FILE] if SOURCE_FILE in df.columns else []
@@ -182,7 +184,7 @@ def read_scoring_csv(spark: SparkSession, path: str) -> DataFrame:
     header = read_header(spark, path)
     if not header:
         raise ValueError("the CSV file is empty")
-    rows = reject_over_long(scan(spark, [path], len(header)), len(header))
+    rows = reject_over_long(scan(spark, [path], len(header), checked=True), len(header))
     try:
         empty = rows.isEmpty()
     except PySparkException as e:

@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.sanitize import FINE_LABELS, sanitize
 from ..schema import text_schema
-from ..sources.records import RECORD, record_features, record_map
+from ..sources.records import record_features
 
 Scorer = Callable[[DataFrame, list[str]], DataFrame]
 
@@ -24,14 +23,7 @@ def record_stream(spark: SparkSession, path: str, features: list[str], keep: lis
 
     ``keep`` names record keys that are carried along as text.
     """
-    lines = spark.readStream.text(path)
-    return features_of_lines(lines, features, keep)
-
-
-def features_of_lines(lines: DataFrame, features: list[str], keep: list[str] | None = None) -> DataFrame:
-    parsed = lines.select(record_map(F.col("value")).alias(RECORD))
-    carried = parsed.withColumns({k: F.col(RECORD)[k] for k in (keep or [])})
-    return record_features(carried, features, keep=keep)
+    return record_features(spark.readStream.text(path), features, keep=keep)
 
 
 def csv_stream(spark: SparkSession, path: str, header: list[str], features: list[str], keep: list[str] | None = None) -> DataFrame:
