@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from ..functions.numeric import finite
 from ..schema import ident
 
-# Columns with at most this many values use the built-in exact median.
-DIRECT_ROWS = 5_000_000
+# Columns with at most this many values use the built-in exact median, in
+# groups of columns that together hold at most GROUP_VALUES values.
+DIRECT_ROWS = 1_000_000
+GROUP_VALUES = 5_000_000
 # Quantile points asked for per pass, and the sketch accuracy behind them.
 GRID_POINTS = 128
 SKETCH_ACCURACY = 10_000
@@ -78,14 +80,27 @@ def column_medians(
             medians[name] = float(s["min"])
         else:
             (small if s["values"] <= direct_rows else large).append(name)
-    if small:
-        row = df.agg(*[F.median(finite(F.col(ident(c)))).alias(f"m{i}") for i, c in enumerate(small)]).first()
-        medians.update({c: row[f"m{i}"] for i, c in enumerate(small)})
+    for group in _groups(small, summary):
+        row = df.agg(*[F.median(finite(F.col(ident(c)))).alias(f"m{i}") for i, c in enumerate(group)]).first()
+        medians.update({c: row[f"m{i}"] for i, c in enumerate(group)})
     if large:
         medians.update(_narrowed_medians(df, {c: summary[c] for c in large}, direct_rows))
     return medians
 
 
+def _groups(columns: list[str], summary: dict[str, dict]) -> list[list[str]]:
+    """Columns in groups that one aggregation buffer can hold."""
+    groups: list[list[str]] = []
+    held = 0
+    for c in columns:
+        if not groups or held + summary[c]["values"] > GROUP_VALUES:
+            groups.append([])
+            held = 0
+        groups[-1].append(c)
+        held += summary[c]["values"]
+    return groups
+
+
 def _narrowed_medians(df: DataFrame, summary: dict[str, dict], direct_rows: int) -> dict[str, float]:
     targets = []
     for name, s in summary.items():
