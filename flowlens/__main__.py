@@ -24,6 +24,7 @@ from .plans.train import (
 from .schema import BINARY_CLASSES, BINARY_LABEL, CLASSES_FINE, FAMILIES, FAMILY_LABEL, LABEL
 from .sources import tables
 from .sources.csv_files import SOURCE_FILE, load_coarse_flows, load_fine_flows
+from .workspace import tune
 
 
 def _write_reports(reports: dict[str, DataFrame], path: str) -> None:
@@ -100,7 +101,7 @@ def main() -> None:
         if name == "score":
             c.add_argument("--bundle", required=True)
     args = parser.parse_args()
-    spark = SparkSession.builder.appName(f"flowlens-{args.command}").getOrCreate()
+    spark = tune(SparkSession.builder.appName(f"flowlens-{args.command}").getOrCreate())
     if args.command == "prepare":
         prepare(spark, args.kind, args.input, args.output)
     elif args.command == "train":

@@ -24,7 +24,7 @@ from ..operators.transforms import apply_log, apply_scaler, fit_log_shifts, fit_
 from ..schema import (
     BINARY_LABEL, FAMILY_LABEL, LABEL, MAX_CAP, MIN_SAMPLES, SEED, SPLIT, TARGET_TOTAL, ident,
 )
-from ..workspace import materialize
+from ..workspace import materialize, tune
 
 ROW_ID = "row_id"
 
@@ -43,6 +43,7 @@ class Prepared:
 
 def _indexed(df: DataFrame, row_id: str | None, name: str) -> tuple[DataFrame, str]:
     """Store the table; number its rows when the caller has no row id."""
+    tune(df.sparkSession)
     stored = materialize(df, name)
     if row_id:
         return stored, row_id
