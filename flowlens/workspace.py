@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ _METHOD_SETTING = "spark.sql.codegen.hugeMethodLimit"
 _METHOD_DEFAULT = "65535"
 
 _local_folder: str | None = None
+_written: list[str] = []  # in the order of writing
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -64,7 +67,36 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    _path_of[stored] = path
+    return stored
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in stored:
+        path = _path_of.pop(df)
+        _written.remove(path)
+        remove_folder(df.sparkSession, path)
+
+
+def mark() -> int:
+    """Place in the list of stored tables, for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the tables stored after a mark; their results must have been written."""
+    for path in _written[since:]:
+        remove_folder(spark, path)
+    del _written[since:]
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
