@@ -11,9 +11,9 @@ minimiser, so three exact reductions come first:
   without looking at windows (copies, whatever their number);
 * equal super-k-mers are combined before they travel.
 
-A bucket of more than ``BUCKET_ROWS`` different super-k-mers (one passage with
-thousands of variants) is never held by one task: its windows are counted one
-by one, combined before the shuffle.
+A bucket of more than ``BUCKET_WINDOWS`` windows in different super-k-mers (one
+passage with thousands of variants) is never held by one task: its windows are
+counted one by one, combined before the shuffle.
 
 Rows: null ids neither remove nor lose words; null and empty texts have no
 words; rows that share an id do not remove each other's words.
@@ -35,7 +35,7 @@ from .words import Block, blocks, gram_hashes, mix, places_in_documents, sliding
 WINDOW = 50
 GRAM = 5
 RUN_WINDOWS = 256  # longer runs are cut, with overlap
-BUCKET_ROWS = 256
+BUCKET_WINDOWS = 1 << 17
 _SEGMENT = 1 << 18
 _STEP = 0xD1342543DE82EF95
 _tables: list[np.ndarray] = []
@@ -111,7 +111,7 @@ def _light_rows(window: int, gram: int):
     return work
 
 
-_PACKED = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("words", pa.binary()), ("id", pa.int64())])
+_PACKED = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("words", pa.binary()), ("windows", pa.int32()), ("id", pa.int64())])
 
 
 def _packed_rows(window: int, gram: int):
@@ -138,7 +138,7 @@ def _packed_rows(window: int, gram: int):
                     for k in (lo + np.flatnonzero(keep[lo:hi])).tolist():
                         start = int(runs.first[k])
                         texts.append(b" ".join(split[start : start + int(runs.windows[k]) + window - 1]))
-                yield _batch({"key": runs.key[keep], "run": runs.hash[keep], "words": texts, "id": ids[block.first + runs.row[keep]]}, _PACKED)
+                yield _batch({"key": runs.key[keep], "run": runs.hash[keep], "words": texts, "windows": runs.windows[keep], "id": ids[block.first + runs.row[keep]]}, _PACKED)
 
     return work
 
@@ -153,7 +153,9 @@ def _windows_of(words: bytes, window: int) -> list[bytes]:
     return [words[starts[i] : ends[i + window - 1]] for i in range(len(split) - window + 1)]
 
 
-_SPANS = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("least", pa.int64())])
+_STRETCH = pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("least", pa.int64())])
+_SPANS = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("stretches", pa.list_(_STRETCH))])
+_SPANS_TYPE = "key bigint, run bigint, stretches array<struct<lo: int, hi: int, least: bigint>>"
 
 
 def _sorted_bucket(rows: list[tuple[int, bytes, int, int]], key: int, window: int, out: list[tuple]) -> None:
@@ -166,14 +168,16 @@ def _sorted_bucket(rows: list[tuple[int, bytes, int, int]], key: int, window: in
             last, smallest = text, first
         least[at][place] = smallest
     for (run, _, _, latest), found in zip(rows, least):
-        lo, n = 0, len(found)
+        lo, n, stretches = 0, len(found), []
         while lo < n:
             hi = lo + 1
             while hi < n and found[hi] == found[lo]:
                 hi += 1
             if found[lo] < latest:
-                out.append((key, run, lo, hi, found[lo]))
+                stretches.append((lo, hi, found[lo]))
             lo = hi
+        if stretches:
+            out.append((key, run, [dict(zip(("lo", "hi", "least"), s)) for s in stretches]))
 
 
 def _bucket_rows(window: int):
@@ -224,7 +228,7 @@ def _spark_type(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
 
 
-def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, gram: int = GRAM, bucket_windows: int = BUCKET_WINDOWS) -> tuple[DataFrame, DataFrame]:
     """(id, body, spans) with the word ranges [lo, hi) to remove, and (id, body, text, keys) of the documents that may have some.
 
     ``body`` is a hash of the text; it tells rows that share an id apart.
@@ -243,23 +247,29 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = materialize(docs.join(wanted, ["id", "body"]), "texts-with-repeats")
 
     packed = texts.where("size(keys) > 0").mapInArrow(_packed_rows(window, gram), _spark_type(_PACKED))
-    different = materialize(packed.groupBy("key", "run", "words").agg(F.min("id").alias("first"), F.max("id").alias("latest")), "different-runs")
-    sizes = different.groupBy("key").agg(F.count("*").alias("n"))
-    large = materialize(sizes.where(F.col("n") > bucket_rows).select("key"), "large-buckets")
+    different = materialize(packed.groupBy("key", "run", "words", "windows").agg(F.min("id").alias("first"), F.max("id").alias("latest")), "different-runs")
+    sizes = different.groupBy("key").agg(F.sum("windows").alias("n"))
+    large = materialize(sizes.where(F.col("n") > bucket_windows).select("key"), "large-buckets")
     columns = ["key", "run", "words", "first", "latest"]
     small = different.join(large, "key", "left_anti").select(columns)
-    found = small.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_rows(window), _spark_type(_SPANS))
+    found = small.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_rows(window), _SPANS_TYPE)
     if not large.isEmpty():
         listed = materialize(different.join(large, "key").select(columns).mapInArrow(_window_rows(window), _spark_type(_WINDOWS)), "windows")
         least = materialize(listed.groupBy("window").agg(F.min("first").alias("least"), F.max("latest").alias("l")).where("least < l").drop("l"), "first-windows")
         one_by_one = listed.join(least, "window").where("least < latest")
-        found = found.unionByName(one_by_one.select("key", "run", "lo", (F.col("lo") + 1).alias("hi"), "least"))
+        stretch = F.struct("lo", (F.col("lo") + 1).alias("hi"), "least")
+        found = found.unionByName(one_by_one.groupBy("key", "run").agg(F.collect_list(stretch).alias("stretches")))
     found = materialize(found, "bucket-spans")
     discard(different, large)
 
-    varied = runs.where("varied").select("key", "run", "id", "body", "first").join(found, ["key", "run"]).where(F.col("id") > F.col("least"))
-    varied = varied.select("id", "body", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + (window - 1)).alias("hi"))
-    spans = direct.unionByName(varied).groupBy("id", "body").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    varied = runs.where("varied").select("key", "run", "id", "body", "first").join(found, ["key", "run"])
+    place = F.transform(
+        F.filter("stretches", lambda s: s["least"] < F.col("id")),
+        lambda s: F.struct((F.col("first") + s["lo"]).alias("lo"), (F.col("first") + s["hi"] + (window - 1)).alias("hi")),
+    )
+    direct = direct.select("id", "body", F.array(F.struct("lo", "hi")).alias("spans"))
+    spans = direct.unionByName(varied.select("id", "body", place.alias("spans"))).where("size(spans) > 0")
+    spans = spans.groupBy("id", "body").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = materialize(spans, "spans")
     discard(runs, found)
     return spans, texts
@@ -307,9 +317,9 @@ def _whole_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _batch(columns, _WHOLE)
 
 
-def removal_digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def removal_digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, gram: int = GRAM, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of every document; only light rows are joined back."""
-    spans, texts = repeated_spans(docs, id_column, text_column, window, gram, bucket_rows)
+    spans, texts = repeated_spans(docs, id_column, text_column, window, gram, bucket_windows)
     removed = texts.drop("keys").join(spans, ["id", "body"]).mapInArrow(_removed_digest, _spark_type(_REMOVED)).dropDuplicates(["id", "body"])
     light = docs.select(F.col(id_column).cast("bigint").alias("id"), F.xxhash64(F.col(text_column)).alias("body"), F.col(text_column).alias("text"))
     whole = light.mapInArrow(_whole_digest, _spark_type(_WHOLE))
