@@ -41,8 +41,8 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         encode = encoder(path, words_only=True).encode
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
+                ids += end
                 n = len(ids) // 4
                 out.extend((doc, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)]), n) for at in range(0, n, capacity))
             if out:

@@ -13,7 +13,9 @@ import re
 import numpy as np
 import public_tokenizers
 
-MEMO_PIECES = 300_000
+MEMO_PIECES = 800_000
+_TOGETHER = 128  # texts
+_ROW_PIECES = 20_000
 
 #: A space beside other white space: only then can a cut before a space change the ids.
 _BESIDE = re.compile(r"\s | \s")
@@ -42,18 +44,39 @@ class Encoder:
         head, *rest = text.split(" ")
         return [head, *[" " + r for r in rest]]
 
-    def encode(self, text: str) -> bytes:
-        pieces, memo = self.pieces(text), self.memo
-        try:
-            return b"".join([memo[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(memo) > self.memo_pieces:
-            memo.clear()
-        missing = [p for p in set(pieces) if p not in memo]
-        for piece, encoding in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            memo[piece] = np.array(encoding.ids, dtype="<u4").tobytes()
-        return b"".join([memo[p] for p in pieces])
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), _TOGETHER):
+            cut = [self.pieces(t) for t in texts[at : at + _TOGETHER]]
+            if len(self.memo) > self.memo_pieces:
+                self.memo.clear()
+            missing = set().union(*cut).difference(self.memo)
+            if missing:
+                self._learn(list(missing))
+            memo = self.memo
+            out.extend([b"".join([memo[p] for p in pieces]) for pieces in cut])
+        return out
+
+    def _learn(self, missing: list[str]) -> None:
+        """Encode new pieces: in a row as one text, where spaces keep them apart, else one by one."""
+        if self.words_only:
+            row = [p for p in missing if p and not p.isspace()]
+        else:
+            row = [p for p in missing if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
+        for at in range(0, len(row), _ROW_PIECES):
+            part = row[at : at + _ROW_PIECES]
+            gap = 1 if self.words_only else 0
+            encoding = self.tokenizer.encode((" " * gap).join(part), add_special_tokens=False)
+            ids = np.array(encoding.ids, dtype="<u4")
+            first = np.array(encoding.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            ends = np.cumsum([len(p) + gap for p in part])
+            edges = np.concatenate([[0], np.searchsorted(first, ends)]) * 4
+            raw = ids.tobytes()
+            self.memo.update((p, raw[s:e]) for p, s, e in zip(part, edges[:-1].tolist(), edges[1:].tolist()))
+        single = list(set(missing).difference(row))
+        for piece, encoding in zip(single, self.tokenizer.encode_batch(single, add_special_tokens=False)):
+            self.memo[piece] = np.array(encoding.ids, dtype="<u4").tobytes()
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

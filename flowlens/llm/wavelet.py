@@ -171,8 +171,8 @@ def _build(path: str, end_id: int, block_tokens: int):
             })
 
         for batch in batches:
-            for document, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text or "") + end
+            for document, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
+                ids += end
                 documents.append(document)
                 lengths.append(len(ids) // 4)
                 held.append(ids)
