@@ -38,9 +38,10 @@ def unmapped_labels(df: DataFrame, label: str = LABEL) -> DataFrame:
 def derive_labels(df: DataFrame, label: str = LABEL, check: bool = True) -> DataFrame:
     """Add the family and the binary label; fail on labels without a family."""
     if check:
-        unknown = sorted(r[0] for r in unmapped_labels(df, label).limit(100).collect() if r[0] is not None)
-        if unknown:
-            raise ValueError(f"labels without a family: {unknown}")
+        unknown = unmapped_labels(df, label).where(F.col(label).isNotNull())
+        shown = sorted(r[0] for r in unknown.limit(100).collect())
+        if shown:
+            raise ValueError(f"{unknown.count()} labels without a family, among them: {shown}")
     return with_family(df, label).withColumn(BINARY_LABEL, binary_label(F.col(label)))
 
 

@@ -137,6 +137,13 @@ def objective_history(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "iteration int, loss double")
 
 
+def tree_depth(depth: int | None) -> int:
+    """None for unlimited depth is Spark's deepest; a larger number is an error, not a smaller tree."""
+    if depth is not None and depth > DEEPEST:
+        raise ValueError(f"Spark's trees have at most {DEEPEST} levels, not {depth}")
+    return DEEPEST if depth is None else depth
+
+
 def forest(params: dict, weight: str | None = "weight", seed: int = SEED) -> RandomForestClassifier:
     """Random forest estimator; unlimited depth becomes Spark's deepest.
 
@@ -144,10 +151,9 @@ def forest(params: dict, weight: str | None = "weight", seed: int = SEED) -> Ran
     minimum alone applies. Node ids are cached and cut by the checkpoint
     folder, so that deep trees survive lost executors.
     """
-    depth = params.get("maxDepth")
     rf = RandomForestClassifier(
         featuresCol="features", labelCol="label", seed=seed, featureSubsetStrategy="sqrt",
-        numTrees=params.get("numTrees", 100), maxDepth=DEEPEST if depth is None else min(depth, DEEPEST),
+        numTrees=params.get("numTrees", 100), maxDepth=tree_depth(params.get("maxDepth")),
         minInstancesPerNode=params.get("minInstancesPerNode", 1), maxMemoryInMB=1024, cacheNodeIds=True,
     )
     return rf.setWeightCol(weight) if weight else rf
@@ -180,9 +186,8 @@ def tune_forest(
     estimator = forest({}, seed=seed)
     maps = []
     for s in settings:
-        depth = DEEPEST if s["maxDepth"] is None else min(s["maxDepth"], DEEPEST)
         maps.append({
-            estimator.numTrees: s["numTrees"], estimator.maxDepth: depth,
+            estimator.numTrees: s["numTrees"], estimator.maxDepth: tree_depth(s["maxDepth"]),
             estimator.minInstancesPerNode: s["minInstancesPerNode"],
         })
     search = CrossValidator(

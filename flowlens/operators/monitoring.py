@@ -108,12 +108,15 @@ def health(scored: DataFrame, label: str = "predicted_class", by: list | None =
 
 
 def class_drift(batch: DataFrame, training_shares: DataFrame, label: str, tolerance: float = SHIFT_TOLERANCE) -> DataFrame:
-    """Per class: share in the batch, share in training, difference and alert."""
+    """Per class: share in the batch, share in training, difference and alert.
+
+    A class that only one side has counts as share 0 on the other, and alerts.
+    """
     now = class_shares(batch, label).select(F.col(ident(label)).alias("class"), F.col("share").alias("batch_share"))
     then = training_shares.select(F.col(ident(label)).alias("class"), F.col("share").alias("training_share"))
-    return now.join(then, "class").withColumn(
-        "difference", F.abs(F.col("batch_share") - F.col("training_share"))
-    ).withColumn("alert", F.col("difference") > tolerance)
+    both = now.join(then, "class", "full").withColumn("one_sided", F.col("batch_share").isNull() | F.col("training_share").isNull())
+    both = both.fillna(0.0, ["batch_share", "training_share"]).withColumn("difference", F.abs(F.col("batch_share") - F.col("training_share")))
+    return both.withColumn("alert", F.col("one_sided") | (F.col("difference") > tolerance)).drop("one_sided")
 
 
 def feature_drift(batch: DataFrame, scaler: dict[str, tuple[float, float]], limit: float = FEATURE_SHIFT_LIMIT) -> DataFrame:

@@ -109,7 +109,7 @@ def assign_segment(
     )
     table = zero.join(ends, "stratum", "left").withColumnRenamed("stratum", "__stratum")
     joined = df.withColumn("__key", seeded_key(row_id, seed)).join(
-        broadcast_if_small(table), F.col(ident(stratum)) == F.col("__stratum"), "left"
+        broadcast_if_small(table), F.col(ident(stratum)) == F.col("__stratum")
     )
     me = F.struct(F.col("__key").alias("key"), F.col(ident(row_id)).alias("id"))
     passed = F.size(F.filter(F.coalesce(F.col("__ends"), F.array()), lambda e: e["at"] < me))

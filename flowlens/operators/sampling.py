@@ -118,7 +118,7 @@ def stratified_split(
     held_out: float = HELD_OUT_SHARE, test_of_held_out: float = TEST_SHARE_OF_HELD_OUT,
     seed: int = SEED, output: str = SPLIT, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Add a train / val / test column with exact, stratified sizes."""
+    """Add a train / val / test column with exact, stratified sizes; rows without a stratum are dropped."""
     counts = stratum_counts(df, stratum)
     quotas = split_quotas(counts, held_out, test_of_held_out)
     cuts = {s: [q[0], q[0] + q[1]] for s, q in quotas.items()}
@@ -131,10 +131,10 @@ def stratified_subset(
     df: DataFrame, row_id: str, stratum: str, rows: int,
     seed: int = SEED, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Stratified subset of a fixed total size; the whole table if it is not larger."""
+    """Stratified subset of a fixed total size; the whole table if it is not larger. Rows without a stratum are dropped."""
     counts = stratum_counts(df, stratum)
     if rows >= sum(counts.values()):
-        return df
+        return df.where(F.col(ident(stratum)).isNotNull())
     quota = proportional_quota(counts, rows)
     cuts = {s: [q] for s, q in quota.items()}
     marked = assign_segment(df, stratum, row_id, cuts, max(counts.values()), "__segment", seed, bucket_rows)
@@ -158,7 +158,7 @@ def stratified_folds(
     df: DataFrame, row_id: str, stratum: str, folds: int = TUNE_FOLDS,
     seed: int = SEED, output: str = "fold", bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Add a zero-based fold number, shuffled inside each stratum."""
+    """Add a zero-based fold number, shuffled inside each stratum; rows without a stratum are dropped."""
     counts = stratum_counts(df, stratum)
     cuts = {}
     for s, sizes in fold_sizes(counts, folds).items():

@@ -318,8 +318,12 @@ def health_of_mixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("a35_class_drift", over_flows("""
-SELECT a."Label" AS class, a.share AS batch_share, b.share AS training_share, abs(a.share - b.share) AS difference, abs(a.share - b.share) > 0.001 AS alert
-FROM shares a JOIN shares b ON a."Label" = b."Label" WHERE a.split = 'test' AND b.split = 'train'""", SHARES_CTE))
+SELECT coalesce(a."Label", b."Label") AS class, coalesce(a.share, 0.0) AS batch_share, coalesce(b.share, 0.0) AS training_share,
+  abs(coalesce(a.share, 0.0) - coalesce(b.share, 0.0)) AS difference,
+  a.share IS NULL OR b.share IS NULL OR abs(a.share - b.share) > 0.001 AS alert
+FROM (SELECT * FROM shares WHERE split = 'test') a
+FULL JOIN (SELECT * FROM shares WHERE split = 'train') b ON a."Label" = b."Label"
+""", SHARES_CTE))
 def class_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = flows(spark, sf_dir)
     training = distributions.class_shares(df.where("split = 'train'"))

@@ -53,6 +53,11 @@ def over_long(width: int) -> Column:
     return flagged & (_fields_in(F.col(_CORRUPT)) > width)
 
 
+def file_path() -> Column:
+    """Path of the row's file as the listing spells it; the metadata escapes spaces and other characters."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def scan(spark: SparkSession, paths: list[str], width: int, checked: bool) -> DataFrame:
     """Text scan of files that share a header, with positional column names.
 
@@ -65,7 +70,7 @@ def scan(spark: SparkSession, paths: list[str], width: int, checked: bool) -> Da
         names.append(_CORRUPT)
         reader = reader.option("columnNameOfCorruptRecord", _CORRUPT).option("columnPruning", False)
     rows = reader.schema(text_schema(names)).csv(paths)
-    return rows.withColumn(SOURCE_FILE, F.regexp_extract(F.col("_metadata.file_path"), r"(?i)([^/]+\.csv)(/|$)", 1))
+    return rows.withColumn(SOURCE_FILE, F.regexp_extract(file_path(), r"(?i)([^/]+\.csv)(/|$)", 1))
 
 
 def reject_over_long(df: DataFrame, width: int) -> DataFrame:
@@ -138,7 +143,7 @@ def read_files(
 
 
 def _files_with_over_long(spark: SparkSession, paths: list[str], width: int) -> list[str]:
-    rows = scan(spark, paths, width, checked=True).withColumn("path", F.col("_metadata.file_path"))
+    rows = scan(spark, paths, width, checked=True).withColumn("path", file_path())
     # At most one row per input file comes back.
     bad = rows.where(over_long(width)).select("path").distinct().collect()
     found = {r["path"] for r in bad}

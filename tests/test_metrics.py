@@ -155,3 +155,11 @@ def test_truth_by_index(spark):
     p = spark.createDataFrame([(0, "a"), (1, "b")], "index long, predicted_class string")
     t = spark.createDataFrame([(0, "a"), (1, "a")], "index long, true_class string")
     assert Counter(r["correct"] for r in metrics.compare_to_truth(p, t).collect()) == {True: 1, False: 1}
+
+
+def test_drift_alerts_for_new_and_vanished_classes(spark):
+    train = spark.createDataFrame([("a",)] * 9 + [("gone",)], "predicted_class string")
+    batch = spark.createDataFrame([("a",)] + [("new",)] * 9, "predicted_class string")
+    rows = {r["class"]: r for r in monitoring.class_drift(batch, distributions.class_shares(train, "predicted_class"), "predicted_class", tolerance=1.0).collect()}
+    assert rows["new"]["training_share"] == 0 and rows["new"]["difference"] == pytest.approx(0.9) and rows["new"]["alert"]
+    assert rows["gone"]["batch_share"] == 0 and rows["gone"]["alert"] and not rows["a"]["alert"]

@@ -108,3 +108,13 @@ def test_index_by_order(skewed):
     want = sorted((r["Label"], r["id"]) for r in rows)
     assert [(r["Label"], r["id"]) for r in sorted(rows, key=lambda r: r["index"])] == want
     assert sorted(r["index"] for r in rows) == list(range(3000))
+
+
+def test_rows_without_a_stratum_are_dropped(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "ab"[i % 2]) for i in range(600)], "flow_id long, Label string")
+    split = sampling.stratified_split(df, "flow_id", "Label")
+    assert split.count() == 400 and split.where("Label IS NULL").isEmpty()
+    assert sampling.stratified_subset(df, "flow_id", "Label", 100).count() == 100
+    assert sampling.stratified_subset(df, "flow_id", "Label", 1000).count() == 400
+    folds = Counter(r["fold"] for r in sampling.stratified_folds(df, "flow_id", "Label", 4).collect())
+    assert folds == {0: 100, 1: 100, 2: 100, 3: 100}

@@ -142,3 +142,14 @@ def test_index_follows_file_position(spark, tmp_path):
         assert df.where(F.col("v") != F.col("index")).count() == 0 and df.count() == 20_000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("name", ["34 classes", "a%20b", "x+y"])
+def test_over_long_files_are_skipped_in_any_folder(spark, tmp_path, name):
+    folder = tmp_path / name
+    folder.mkdir()
+    (folder / "Merged 01.csv").write_text("IAT,Label\n1,BENIGN\n")
+    (folder / "Merged02.csv").write_text("IAT,Label\n1,BENIGN\n2,BENIGN,40\n")
+    files = read_files(spark, list_files(spark, str(folder), "Merged*.csv"))
+    rows = files.data.collect()
+    assert len(rows) == 1 and rows[0]["source_file"] == "Merged 01.csv" and len(files.skipped) == 1
