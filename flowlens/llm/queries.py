@@ -69,7 +69,7 @@ QUERIES = {
 
 SQL = {
     "op1_substring_dedup": r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents),
 g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 49), ' ') AS k FROM w, unnest(range(1, len(ws) - 48)) AS t(i)),
 m AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k),
 c AS (SELECT DISTINCT g.doc_id, j FROM g JOIN m USING (k), unnest(range(i, i + 50)) AS t(j) WHERE first < g.doc_id),
