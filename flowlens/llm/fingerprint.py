@@ -159,10 +159,10 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 keep = [likeness(x, y) >= threshold for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        def verify(pairs: DataFrame) -> DataFrame:
+        def verify(pairs: DataFrame, _: bool) -> DataFrame:
             left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("fingerprint").alias("x")), "a")
             both = left.join(nodes.select(F.col("node").alias("b"), F.col("fingerprint").alias("y")), "b")
-            return both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+            return materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "verified")
 
         return verify
 
