@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 _LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
@@ -25,3 +26,16 @@ def bounded_batches(spark: SparkSession) -> Iterator[None]:
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int, text_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined in a row until they hold ``rows`` rows or ``text_bytes`` bytes, and larger ones cut by rows."""
+    held: list[pa.RecordBatch] = []
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            held.append(whole.slice(at, rows))
+            if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= text_bytes:
+                yield pa.concat_batches(held)
+                held = []
+    if held:
+        yield pa.concat_batches(held)

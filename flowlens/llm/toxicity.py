@@ -23,10 +23,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import materialize
+from .batches import bounded_batches, gathered
 from .labelled import SAMPLE_ROWS, labelled_sample
 from .words import mix
 
@@ -39,7 +41,9 @@ _START, _END = "\x02", "\x03"
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„…¿¡–—·"
 _BASE = np.uint64(0xD1342543DE82EF95)
 _CUTS = (4.0, 7.0, 10.0)
-_BATCH_DOCS = 2_000
+_BATCH_DOCS, _BATCH_BYTES = 2_000, 6 << 20
+_SENT_ROWS = 20_000
+_QUANTILES = 10_000
 
 
 def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -84,20 +88,20 @@ _COUNTS = ("n_all", "t0", "o0", "t2", "o2")
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, counts) per batch of documents: over all, and over toxic and ordinary training documents by fold."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, _BATCH_DOCS):
-            batch = whole.slice(start, _BATCH_DOCS)
-            codes, counts, words = _words(batch.column("text").to_pylist())
-            if not len(codes):
-                continue
-            label = batch.column("label").fill_null(-1).to_numpy(zero_copy_only=False)
-            fold = batch.column("fold").fill_null(-1).to_numpy(zero_copy_only=False)
-            kind = np.repeat(np.select([(fold == f) & (label == y) for f in (0, 2) for y in (1, 0)], [1, 2, 3, 4], 0), counts)
-            weights = [np.bincount(codes, minlength=len(words))] + [np.bincount(codes[kind == k], minlength=len(words)) for k in (1, 2, 3, 4)]
-            grams = Grams(words)
-            _, first, place = np.unique(grams.code, return_index=True, return_inverse=True)
-            sums = [np.bincount(place, weights=w[grams.word], minlength=len(first)).astype(np.int64) for w in weights]
-            yield pa.RecordBatch.from_pydict({"gram": pa.array([grams.string(i) for i in first.tolist()])} | {c: pa.array(s) for c, s in zip(_COUNTS, sums)})
+    for batch in gathered(batches, _BATCH_DOCS, _BATCH_BYTES):
+        codes, counts, words = _words(batch.column("text").to_pylist())
+        if not len(codes):
+            continue
+        label = batch.column("label").fill_null(-1).to_numpy(zero_copy_only=False)
+        fold = batch.column("fold").fill_null(-1).to_numpy(zero_copy_only=False)
+        kind = np.repeat(np.select([(fold == f) & (label == y) for f in (0, 2) for y in (1, 0)], [1, 2, 3, 4], 0), counts)
+        weights = [np.bincount(codes, minlength=len(words))] + [np.bincount(codes[kind == k], minlength=len(words)) for k in (1, 2, 3, 4)]
+        grams = Grams(words)
+        _, first, place = np.unique(grams.code, return_index=True, return_inverse=True)
+        sums = [np.bincount(place, weights=w[grams.word], minlength=len(first)).astype(np.int64) for w in weights]
+        found = pa.RecordBatch.from_pydict({"gram": pa.array([grams.string(i) for i in first.tolist()])} | {c: pa.array(s) for c, s in zip(_COUNTS, sums)})
+        for at in range(0, found.num_rows, _SENT_ROWS):
+            yield found.slice(at, _SENT_ROWS)
 
 
 def _shared_chain(grams: DataFrame, order: int) -> DataFrame:
@@ -162,16 +166,16 @@ class Evidence:
         return np.bincount(grams.word, values, n), np.bincount(grams.word, minlength=n)
 
 
-def _codes(strings: list[str]) -> np.ndarray:
+def _codes(strings: pa.Array) -> np.ndarray:
     """Hash of each gram as in ``Grams``."""
-    out = np.empty(len(strings), dtype=np.uint64)
-    for i, s in enumerate(strings):
-        h, power = 0, 1
-        for c in reversed(s):
-            h = (h + (ord(c) + 1) * power) % (1 << 64)
-            power = power * int(_BASE) % (1 << 64)
-        out[i] = h
-    return mix(out)
+    sizes = pc.utf8_length(strings).to_numpy(zero_copy_only=False).astype(np.int64)
+    points = np.frombuffer("".join(strings.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    last, code, power = np.cumsum(sizes) - 1, np.zeros(len(sizes), dtype=np.uint64), 1
+    for back in range(int(sizes.max(initial=0))):
+        has = np.flatnonzero(sizes > back)
+        code[has] += points[last[has] - back] * np.uint64(power)
+        power = power * int(_BASE) % (1 << 64)
+    return mix(code)
 
 
 def fit_evidence(docs: DataFrame, sample: DataFrame, model_grams: int = MODEL_GRAMS, id_column: str = "doc_id", text_column: str = "text") -> dict[str, Evidence]:
@@ -201,16 +205,21 @@ def fit_evidence(docs: DataFrame, sample: DataFrame, model_grams: int = MODEL_GR
     known = counted.join(ways.drop(*_MODELS), "history").join(shared.withColumnRenamed("gram", "tail"), "tail")
     known = known.select("gram", *[F.log(chance("t", m) / chance("o", m)).alias(m) for m in _MODELS], (F.col("t_all") + F.col("o_all")).alias("seen"))
 
-    def most(df: DataFrame, key: str, weight) -> list:
-        return df.select(key, *_MODELS, weight.alias("weight")).orderBy(F.desc("weight"), key).limit(model_grams).collect()
+    def most(df: DataFrame, key: str, weight) -> pa.Table:
+        """The rows of most weight; a weight that surely leaves enough of them is found first, so that few are sorted."""
+        rows = materialize(df.select(key, *_MODELS, weight.alias("weight")), f"{key}-evidence")
+        share = max(0.0, 1 - model_grams / max(1, rows.count()) - 2 / _QUANTILES)
+        least = rows.agg(F.percentile_approx("weight", share, _QUANTILES).alias("w"))
+        some = rows.where(F.col("weight") >= F.lit(least.first()["w"]))
+        return some.orderBy(F.desc("weight"), key).limit(model_grams).select(key, *_MODELS).toArrow()
 
     gram_rows = most(known, "gram", F.abs(F.col("all")) * F.log(F.col("seen") + 1.0))
     way_rows = most(ways, "history", F.abs(F.col("all")) * F.log(F.col("t_all_sum") + F.col("o_all_sum") + 1.0))
     tables = []
-    for found, key in ((gram_rows, "gram"), (way_rows, "history")):
-        codes = _codes([r[key] for r in found])
+    for found in (gram_rows, way_rows):
+        codes = _codes(found.column(0).combine_chunks())
         order = np.argsort(codes)
-        tables.append((codes[order], {m: np.array([r[m] for r in found], dtype=np.float64)[order] for m in _MODELS}))
+        tables.append((codes[order], {m: found.column(m).to_numpy()[order] for m in _MODELS}))
     return {m: Evidence(tables[0][0], tables[0][1][m], tables[1][0], tables[1][1][m]) for m in _MODELS}
 
 
@@ -268,6 +277,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, calibration_rows: int = CALIBRATION_ROWS, model_grams: int = MODEL_GRAMS, id_column: str = "doc_id", text_column: str = "text") -> Toxicity | None:
     """Model from the training labels; None if they do not hold both classes."""
+    with bounded_batches(docs.sparkSession):
+        return _fitted(docs, labels, sample_rows, calibration_rows, model_grams, id_column, text_column)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, sample_rows: int, calibration_rows: int, model_grams: int, id_column: str, text_column: str) -> Toxicity | None:
     sample = materialize(labelled_sample(labels, "toxic", sample_rows), "labelled")
     if sample.select("label").distinct().count() < 2:
         return None
@@ -275,7 +289,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     models = spark.sparkContext.broadcast(fit_evidence(docs, sample, model_grams, id_column, text_column))
 
     def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, _BATCH_DOCS, _BATCH_BYTES):
             texts, fold = batch.column("text").to_pylist(), batch.column("fold").to_numpy(zero_copy_only=False)
             rows = np.zeros((len(texts), FEATURES))
             for f, name in ((0, "without0"), (2, "without2")):
@@ -295,11 +309,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     return Toxicity(models.value["all"], middle, width, _logistic((x - middle) / width, y))
 
 
-def _scores(model: Toxicity | None, texts: list[str | None]) -> np.ndarray:
-    out = np.zeros(len(texts))
-    for start in range(0, len(texts), _BATCH_DOCS) if model else ():
-        out[start : start + _BATCH_DOCS] = model.scores(texts[start : start + _BATCH_DOCS])
-    return out
+def _scores(model: Toxicity | None, texts: pa.Array) -> np.ndarray:
+    return model.scores(texts.to_pylist()) if model else np.zeros(len(texts))
 
 
 def scored(docs: DataFrame, model: Toxicity | None, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -307,11 +318,13 @@ def scored(docs: DataFrame, model: Toxicity | None, id_column: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = _scores(shared.value, batch.column("text").to_pylist())
+        for batch in gathered(batches, _BATCH_DOCS, _BATCH_BYTES):
+            score = _scores(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "score": score, "predicted": pa.array((score >= threshold).astype(np.int32))})
 
-    return docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).mapInArrow(work, "id bigint, score double, predicted int")
+    rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).mapInArrow(work, "id bigint, score double, predicted int")
+    with bounded_batches(docs.sparkSession):
+        return materialize(rows, "scores")
 
 
 def keep_ordinary(docs: DataFrame, model: Toxicity | None, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -319,8 +332,8 @@ def keep_ordinary(docs: DataFrame, model: Toxicity | None, text_column: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = _scores(shared.value, batch.column(batch.schema.get_field_index(text_column)).to_pylist())
+        for batch in gathered(batches, _BATCH_DOCS, _BATCH_BYTES):
+            score = _scores(shared.value, batch.column(batch.schema.get_field_index(text_column)))
             yield batch.filter(pa.array(score < threshold))
 
     return docs.mapInArrow(work, docs.schema)
