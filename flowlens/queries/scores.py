@@ -20,14 +20,15 @@ from ..schema import (
 )
 from ..sources import tables
 from ..streaming import health as stream_health
-from ..streaming.scoring import record_stream, start_scoring
+from ..sources.records import REASON
+from ..streaming.scoring import record_stream, start_rejects, start_scoring
 from ..workspace import new_path
 from .common import (
     CAP, FLOOR, TARGET, clean_cte, coarse_logged_cte, coarse_preprocessing, fine_preprocessing, fixed_weights,
     json_folder, probability_ctes,
 )
 from .registry import query, shared
-from .sqltext import over_flows, text
+from .sqltext import over_flows, stacked, text
 
 # --- scoring with fixed weights -------------------------------------------------
 
@@ -128,11 +129,10 @@ def _fine_logistic(spark: SparkSession, sf_dir: str) -> Model:
 
 
 def _coarse_logistic(spark: SparkSession, sf_dir: str, label: str):
-    return shared(spark, sf_dir, f"logistic {label}", lambda: train_coarse_logistic(coarse_table(spark, sf_dir), label, LOGISTIC_GRID))
+    return shared(spark, sf_dir, f"logistic {label}", lambda: train_coarse_logistic(coarse_table(spark, sf_dir), label))
 
 
 # Settings for the registered queries; the library defaults are larger.
-LOGISTIC_GRID = [(1e-5, 40), (1e-4, 40), (1e-3, 40)]
 FINE_FOREST = {"numTrees": 30, "maxDepth": 10, "minInstancesPerNode": 10}
 COARSE_FOREST = {"numTrees": 20, "maxDepth": 10, "minInstancesPerNode": 2}
 SEARCH_GRID = {"numTrees": [5, 10], "maxDepth": [4, 6], "minSplit": [2, 5], "minInstancesPerNode": [1, 4]}
@@ -231,6 +231,41 @@ def scored_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.score_splits(_fine_logistic(spark, sf_dir), rows, CLASSES_FINE, [ROW_ID, SPLIT])
 
 
+@query("s10_bundle_round_trip", over_flows("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differences FROM flows"))
+def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows scored by a saved and reloaded bundle, and how many of them the model in memory scores otherwise."""
+    path = new_path(spark, "bundle")
+    t = fine_table(spark, sf_dir)
+    model = _fine_logistic(spark, sf_dir)
+    tables.save_bundle(tables.Bundle(t.prep, {"fine": model}, {"fine": CLASSES_FINE}), path, spark)
+    bundle = tables.load_bundle(spark, path)
+    tidy = sanitize(flows(spark, sf_dir), t.features, FINE_LABELS, [ROW_ID]).data
+    columns = [ROW_ID, "predicted_class", "confidence"]
+    here = score_fine(tidy, t.prep, model, CLASSES_FINE, [ROW_ID], rounded=False).select(*columns, F.lit(1).alias("n"))
+    there = score_fine(tidy, bundle.prep, bundle.models["fine"], bundle.classes["fine"], [ROW_ID], rounded=False).select(*columns, F.lit(-1).alias("n"))
+    both = here.unionByName(there).groupBy(*columns).agg(F.sum((F.col("n") < 0).cast("int")).alias("rows"), F.abs(F.sum("n")).alias("off"))
+    return both.agg(F.sum("rows").alias("rows"), F.sum("off").alias("differences"))
+
+
+_NOT_CONSTANT = "SELECT feature, TRUE AS valid FROM (" + stacked(FEATURES_FINE, "clean", {"n": "count(DISTINCT {c})"}) + ") WHERE n > 1"
+
+
+def _valid(importance: DataFrame) -> DataFrame:
+    """Each feature of the model, and whether its importance is a number of at least 0."""
+    x = F.col("importance")
+    return importance.select("feature", ((x >= 0) & ~F.isnan(x) & (x < float("inf"))).alias("valid"))
+
+
+@query("a30_importance_features", over_flows(_NOT_CONSTANT, clean_cte()))
+def forest_importance_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _valid(forest_importance(spark, sf_dir))
+
+
+@query("a31_importance_features", over_flows(_NOT_CONSTANT, clean_cte()))
+def logistic_importance_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _valid(logistic_importance(spark, sf_dir))
+
+
 @query("a30_forest_importance")
 def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.forest_importance(spark, _fine_forest(spark, sf_dir), fine_table(spark, sf_dir).features)
@@ -276,6 +311,31 @@ def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(output).select(ROW_ID, "predicted_class", F.round("confidence", 6).alias("confidence"))
 
 
+@query("t01_stream_rejects", over_flows("""
+SELECT 'scored' AS outcome, count(*) AS rows FROM flows
+UNION ALL SELECT 'not a JSON object', count(*) FROM flows WHERE l_linenumber = 1
+UNION ALL SELECT 'no expected feature', count(*) FROM flows WHERE l_linenumber = 2"""))
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all flows with broken and foreign lines among them: only the records are scored."""
+    df = flows(spark, sf_dir)
+    good = df.select(F.to_json(F.struct(ROW_ID, *[F.col(ident(f)) for f in FEATURES_FINE])).alias("value"))
+    broken = df.where("l_linenumber = 1").select(F.concat(F.lit('{"Rate": '), ROW_ID).alias("value"))
+    foreign = df.where("l_linenumber = 2").select(F.to_json(F.struct(F.col(ROW_ID).alias("foo"))).alias("value"))
+    folder, scored, rejects = (new_path(spark, name) for name in ("lines", "stream", "rejects"))
+    good.unionAll(broken).unionAll(foreign).write.text(folder)
+    weights, bias = fixed_weights(len(FEATURES_FINE), len(CLASSES_FINE))
+    prep = fine_preprocessing(spark, sf_dir)
+
+    def scorer(rows: DataFrame, keep: list[str]) -> DataFrame:
+        return score_fine_linear(rows, prep, weights, bias, CLASSES_FINE, keep, rounded=False)
+
+    stream = record_stream(spark, folder, FEATURES_FINE, [ROW_ID])
+    start_scoring(stream, scorer, [ROW_ID], scored, new_path(spark, "checkpoint"), available_now=True).awaitTermination()
+    start_rejects(stream, rejects, new_path(spark, "checkpoint"), available_now=True).awaitTermination()
+    counts = spark.read.parquet(rejects).groupBy(F.col(REASON).alias("outcome")).agg(F.count(F.lit(1)).alias("rows"))
+    return counts.unionByName(spark.read.parquet(scored).agg(F.lit("scored").alias("outcome"), F.count(F.lit(1)).alias("rows")))
+
+
 def _event_class():
     """Events as scored flows: viewing is benign, the other types are attacks."""
     return F.when(F.col("event_type") == "view", "BENIGN").otherwise(F.upper("event_type"))

@@ -36,7 +36,7 @@ def read_header(spark: SparkSession, path: str) -> list[str] | None:
     return next(csv.reader([first[0]["value"].replace("﻿", "")]))
 
 
-def _fields_in(line: Column) -> Column:
+def fields_in(line: Column) -> Column:
     """Number of fields of a CSV line: separators outside quotes, plus one."""
     return F.size(F.split(F.regexp_replace(line, r'"[^"]*"', "q"), ",", -1))
 
@@ -50,7 +50,7 @@ def over_long(width: int) -> Column:
     without any data column.
     """
     flagged = F.col(_CORRUPT).isNotNull() & (F.length(F.concat_ws("", F.col("c0"), F.col(_CORRUPT))) > 0)
-    return flagged & (_fields_in(F.col(_CORRUPT)) > width)
+    return flagged & (fields_in(F.col(_CORRUPT)) > width)
 
 
 def file_path() -> Column:

@@ -1,10 +1,12 @@
 import datetime as dt
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from flowlens.operators.monitoring import health
 from flowlens.streaming import health as stream_health
-from flowlens.streaming.scoring import csv_stream, record_stream, start_scoring
+from flowlens.streaming.scoring import csv_stream, record_stream, start_rejects, start_scoring
 
 
 def scorer(df, keep):
@@ -31,6 +33,33 @@ def test_csv_stream(spark, tmp_path):
     assert {r["id"]: r["hit"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": True, "b": False}
 
 
+def test_rejected_records_are_not_scored(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = ['{"id": "a", "Rate": 3}', "not json at all", '{"foo": 1}', "[1, 2]", '{"id": "b", "Rate": null}', '{"id": "c", "Rate": 2']
+    (tmp_path / "in" / "0.json").write_text("\n".join(lines))
+    stream = record_stream(spark, str(tmp_path / "in"), ["Rate", "IAT"], ["id"])
+    start_scoring(stream, scorer, ["id"], str(tmp_path / "out"), str(tmp_path / "ck"), True).awaitTermination()
+    start_rejects(stream, str(tmp_path / "bad"), str(tmp_path / "ck-bad"), True).awaitTermination()
+    assert {r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a", "b"}
+    rejects = {r["line"]: r["reject_reason"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()}
+    broken = "not a JSON object"
+    assert rejects == {lines[1]: broken, lines[2]: "no expected feature", lines[3]: broken, lines[5]: broken}
+
+
+def test_csv_stream_refuses_other_headers_and_long_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("id,Rate,Label\na,3,XSS\nb,2,XSS,9\nc,5\nd,2,XSS,\n")
+    stream = csv_stream(spark, str(tmp_path / "in"), ["id", "Rate", "Label"], ["Rate"], ["id"])
+    start_scoring(stream, scorer, ["id"], str(tmp_path / "out"), str(tmp_path / "ck"), True).awaitTermination()
+    start_rejects(stream, str(tmp_path / "bad"), str(tmp_path / "ck-bad"), True).awaitTermination()
+    assert {r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a", "c"}
+    assert {r["line"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {"b,2,XSS,9", "d,2,XSS,"}
+    (tmp_path / "in" / "b.csv").write_text("Rate,id,Label\n7,z,XSS\n")
+    with pytest.raises(StreamingQueryException):
+        start_scoring(stream, scorer, ["id"], str(tmp_path / "out"), str(tmp_path / "ck"), True).awaitTermination()
+    assert "7" not in {r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+
 def events(spark, path):
     start = dt.datetime(2024, 1, 1)
     rows = [(start + dt.timedelta(minutes=10 * i), "BENIGN" if i % 3 else f"A{i % 6}") for i in range(60)]
