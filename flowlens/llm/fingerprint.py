@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import materialize
-from .linking import linked
+from .linking import Comparison, linked
 from .words import mix
 
 WALKS = 2
@@ -164,7 +164,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             both = left.join(nodes.select(F.col("node").alias("b"), F.col("fingerprint").alias("y")), "b")
             return materialize(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "verified")
 
-        return verify
+        return Comparison(verify)
 
     linked_nodes, _ = linked(buckets, prepare)
     placed = nodes.join(linked_nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))

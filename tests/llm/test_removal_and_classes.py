@@ -3,7 +3,8 @@ from collections import Counter
 import helpers
 import pytest
 
-from flowlens.llm import neardup, substring
+from flowlens.llm import linking, neardup, substring
+from flowlens.workspace import materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +75,39 @@ def test_near_classes_of_awkward_rows(spark):
     assert kept.columns == ["doc_id", "text", "key", "id"]
     assert Counter(r.doc_id for r in kept.collect())[3] == 0
     assert neardup.near_duplicates(helpers.docs(spark, [])).collect() == []
+
+
+def _edited(base, places, mark):
+    words = base.copy()
+    for p in places:
+        words[p] = f"{mark}{p}"
+    return " ".join(words)
+
+
+def test_near_classes_of_pairs_in_one_large_bucket(spark):
+    """Separate pairs that all share a bucket: neither hub nor leaders are partners of most of them."""
+    links = {(2 * k, 2 * k + 1) for k in range(40)}
+
+    def prepare(_):
+        def verify(pairs, _):
+            rows = [(r.a, r.b) for r in pairs.collect() if (r.a, r.b) in links]
+            return materialize(spark.createDataFrame(rows, "a long, b long"), "verified")
+
+        return linking.Comparison(verify)
+
+    buckets = materialize(spark.createDataFrame([(n, 7) for n in range(80)], "node long, bucket long"), "buckets")
+    found, _ = linking.linked(buckets, prepare)
+    assert {r.node: r.component for r in found.collect()} == {n: n - n % 2 for n in range(80)}
+
+
+def test_near_classes_of_pairs_of_one_template(spark):
+    """Pairs of variants that are near each other and to no other text, in buckets of all of them."""
+    base, rows = [f"t{i}" for i in range(300)], []
+    for k in range(30):
+        own = [(k + 10 * j) % 300 for j in range(9)]
+        rows += [(2 * k, _edited(base, own, f"e{k}x")), (2 * k + 1, _edited(base, [*own, own[0] + 1], f"e{k}x"))]
+    sets = {d: helpers.shingle_set(t) for d, t in rows}
+    true = {(a, b) for a in sets for b in sets if a < b and helpers.jaccard(sets[a], sets[b]) >= 0.8}
+    assert true == {(2 * k, 2 * k + 1) for k in range(30)}
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=2, rows=1).collect()
+    assert {r.id: r.class_id for r in got} == {d: d - d % 2 for d in range(60)}
