@@ -111,3 +111,13 @@ def test_near_classes_of_pairs_of_one_template(spark):
     assert true == {(2 * k, 2 * k + 1) for k in range(30)}
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=2, rows=1).collect()
     assert {r.id: r.class_id for r in got} == {d: d - d % 2 for d in range(60)}
+
+
+def test_near_classes_of_copies_said_several_times(spark):
+    """Plain similarity of about 1, weighted of a third."""
+    rows = []
+    for k in range(40):
+        text = " ".join(f"w{k}x{i}" for i in range(120))
+        rows += [(2 * k, text), (2 * k + 1, "\n".join([text] * 3))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: r.class_id for r in got} == {d: d - d % 2 for d in range(80)}
