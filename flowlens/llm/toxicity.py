@@ -9,21 +9,21 @@ of its toxic and ordinary log-likelihoods; a document is compared by evidence
 normalised by its length and by its strongest words.
 
 Grams are counted per batch of words and summed in Spark; the table grows with
-the corpus.  Executors get at most ``MODEL_GRAMS`` grams, those with the most
-evidence.  Weights are set on a bounded sample of training documents, each
+the corpus and stays there.  Documents are scored by joins: the different words
+of each batch of documents meet the grams, and their evidence, summed per word,
+goes back to the batch.  Weights are set on a bounded sample of training documents, each
 scored by counts from the other training fold, so that no document vouches for
 itself.  Labels, language, source and id are never inputs of a score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,6 @@ from .words import mix
 
 ORDER = 6
 DISCOUNT = 0.75
-MODEL_GRAMS = 1 << 18
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
 _START, _END = "\x02", "\x03"
@@ -43,7 +42,7 @@ _BASE = np.uint64(0xD1342543DE82EF95)
 _CUTS = (4.0, 7.0, 10.0)
 _BATCH_DOCS, _BATCH_BYTES = 2_000, 6 << 20
 _SENT_ROWS = 20_000
-_QUANTILES = 10_000
+_SCORED_BITS = 9  # documents of a scored batch, as a power of two
 
 
 def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -146,40 +145,22 @@ _MODELS = ("all", "without0", "without2")
 
 @dataclass
 class Evidence:
-    """Log-likelihood differences of known grams, and of the way down to the shared counts after known histories."""
+    """Evidence and characters of the words of a batch."""
 
-    grams: np.ndarray
-    gram_values: np.ndarray
-    histories: np.ndarray
-    history_values: np.ndarray
+    places: dict[str, int]
+    sums: np.ndarray
+    sizes: np.ndarray
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Evidence and characters of each word."""
-        grams = Grams(words)
-        values = np.zeros(len(grams.code))
-        for keys, known, found in ((self.histories, self.history_values, grams.history), (self.grams, self.gram_values, grams.code)):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                hit = keys[at] == found
-                values[hit] = known[at[hit]]
-        n = len(words)
-        return np.bincount(grams.word, values, n), np.bincount(grams.word, minlength=n)
-
-
-def _codes(strings: pa.Array) -> np.ndarray:
-    """Hash of each gram as in ``Grams``."""
-    sizes = pc.utf8_length(strings).to_numpy(zero_copy_only=False).astype(np.int64)
-    points = np.frombuffer("".join(strings.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
-    last, code, power = np.cumsum(sizes) - 1, np.zeros(len(sizes), dtype=np.uint64), 1
-    for back in range(int(sizes.max(initial=0))):
-        has = np.flatnonzero(sizes > back)
-        code[has] += points[last[has] - back] * np.uint64(power)
-        power = power * int(_BASE) % (1 << 64)
-    return mix(code)
-
-
-def fit_evidence(docs: DataFrame, sample: DataFrame, model_grams: int = MODEL_GRAMS, id_column: str = "doc_id", text_column: str = "text") -> dict[str, Evidence]:
-    """Evidence from both training folds, and without either fold."""
+        at = np.array([self.places[w] for w in words], dtype=np.int64)
+        return self.sums[at], self.sizes[at]
+
+
+def fit_evidence(docs: DataFrame, sample: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Log-likelihood differences of known grams, and of the way down to the shared counts after known histories.
+
+    Both from all training rows and without either fold, whole and written.
+    """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(sample), "id", "left").select("text", "label", "fold")
     partial = rows.mapInArrow(_gram_counts, "gram string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
     grams = materialize(partial.groupBy("gram").agg(*[F.sum(c).alias(c) for c in _COUNTS]), "grams")
@@ -203,24 +184,46 @@ def fit_evidence(docs: DataFrame, sample: DataFrame, model_grams: int = MODEL_GR
     ways = stats.select("history", *[F.log(down("t", m) / down("o", m)).alias(m) for m in _MODELS], *[f"{k}_{m}_{s}" for m in _MODELS for k in "to" for s in ("sum", "kinds")])
     ways = materialize(ways, "backoff-ways")
     known = counted.join(ways.drop(*_MODELS), "history").join(shared.withColumnRenamed("gram", "tail"), "tail")
-    known = known.select("gram", *[F.log(chance("t", m) / chance("o", m)).alias(m) for m in _MODELS], (F.col("t_all") + F.col("o_all")).alias("seen"))
-
-    def most(df: DataFrame, key: str, weight) -> pa.Table:
-        """The rows of most weight; a weight that surely leaves enough of them is found first, so that few are sorted."""
-        rows = materialize(df.select(key, *_MODELS, weight.alias("weight")), f"{key}-evidence")
-        share = max(0.0, 1 - model_grams / max(1, rows.count()) - 2 / _QUANTILES)
-        least = rows.agg(F.percentile_approx("weight", share, _QUANTILES).alias("w"))
-        some = rows.where(F.col("weight") >= F.lit(least.first()["w"]))
-        return some.orderBy(F.desc("weight"), key).limit(model_grams).select(key, *_MODELS).toArrow()
-
-    gram_rows = most(known, "gram", F.abs(F.col("all")) * F.log(F.col("seen") + 1.0))
-    way_rows = most(ways, "history", F.abs(F.col("all")) * F.log(F.col("t_all_sum") + F.col("o_all_sum") + 1.0))
-    tables = []
-    for found in (gram_rows, way_rows):
-        codes = _codes(found.column(0).combine_chunks())
-        order = np.argsort(codes)
-        tables.append((codes[order], {m: found.column(m).to_numpy()[order] for m in _MODELS}))
-    return {m: Evidence(tables[0][0], tables[0][1][m], tables[1][0], tables[1][1][m]) for m in _MODELS}
+    known = known.select("gram", *[F.log(chance("t", m) / chance("o", m)).alias(m) for m in _MODELS])
+
+    return materialize(known, "gram-evidence"), ways.select("history", *_MODELS)
+
+
+def _batch_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different words of each batch of documents, as far as they arrive together."""
+    for batch in batches:
+        key, texts = batch.column("batch").to_numpy(), batch.column("text").to_pylist()
+        for k in np.unique(key).tolist():
+            words = sorted(set(_words([texts[i] for i in np.flatnonzero(key == k)])[2]))
+            for at in range(0, len(words), _SENT_ROWS):
+                part = words[at : at + _SENT_ROWS]
+                yield pa.RecordBatch.from_pydict({"batch": pa.array([k] * len(part), pa.int64()), "word": pa.array(part, pa.string())})
+
+
+def _with_evidence(docs: DataFrame, grams: DataFrame, histories: DataFrame, text_column: str, work: Callable[[pa.Table, dict[str, Evidence]], pa.Table], schema) -> DataFrame:
+    """``work`` on batches of documents, with the evidence of their words by all grams and histories."""
+    keyed = materialize(docs.withColumn("__batch", F.expr(f"shiftright(monotonically_increasing_id(), {_SCORED_BITS})")), "keyed")
+    found = keyed.select(F.col("__batch").alias("batch"), F.col(f"`{text_column}`").alias("text")).mapInArrow(_batch_words, "batch bigint, word string")
+    found = materialize(found.distinct(), "batch-words")
+    marked = F.concat(F.lit(_START), "word", F.lit(_END))
+    pieces = found.select("word").distinct().withColumn("m", marked)
+    pieces = pieces.select("word", F.expr(f"explode(transform(sequence(2, length(m)), e -> substring(m, greatest(1, e - {ORDER - 1}), least(e, {ORDER}))))").alias("gram"))
+    pieces = materialize(pieces, "word-grams")
+    different = pieces.select("gram").distinct().withColumn("history", F.expr("substring(gram, 1, length(gram) - 1)"))
+    known = grams.select("gram", *[F.col(m).alias(f"g_{m}") for m in _MODELS])
+    ways = histories.select("history", *[F.col(m).alias(f"h_{m}") for m in _MODELS])
+    # a gram of no training document has the value of its history, and 0 if that is unknown too
+    values = different.join(known, "gram", "left").join(ways, "history", "left").select("gram", *[F.coalesce(f"g_{m}", f"h_{m}", F.lit(0.0)).alias(m) for m in _MODELS])
+    words = materialize(pieces.join(values, "gram").groupBy("word").agg(*[F.sum(m).alias(m) for m in _MODELS], F.count("*").alias("size")), "word-evidence")
+    sent = found.join(words, "word")
+
+    def scored_batch(left: pa.Table, right: pa.Table) -> pa.Table:
+        places = {w: i for i, w in enumerate(right.column("word").to_pylist())}
+        sizes = right.column("size").to_numpy()
+        evidence = {m: Evidence(places, right.column(m).to_numpy(), sizes) for m in _MODELS}
+        return work(left.drop_columns(["__batch"]), evidence)
+
+    return keyed.groupBy("__batch").cogroup(sent.groupBy("batch")).applyInArrow(scored_batch, schema)
 
 
 FEATURES = 4 + len(_CUTS)
@@ -251,14 +254,21 @@ def features(texts: list[str | None], evidence: Evidence) -> np.ndarray:
 
 @dataclass
 class Toxicity:
-    evidence: Evidence
+    grams: DataFrame
+    histories: DataFrame
     middle: np.ndarray
     width: np.ndarray
     weights: np.ndarray
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = (features(texts, self.evidence) - self.middle) / self.width
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+    def scores(self) -> Callable[[list[str | None], Evidence], np.ndarray]:
+        """Scores of texts by the evidence of their words."""
+        middle, width, weights = self.middle, self.width, self.weights
+
+        def of(texts: list[str | None], evidence: Evidence) -> np.ndarray:
+            x = (features(texts, evidence) - middle) / width
+            return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+
+        return of
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -275,65 +285,61 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, calibration_rows: int = CALIBRATION_ROWS, model_grams: int = MODEL_GRAMS, id_column: str = "doc_id", text_column: str = "text") -> Toxicity | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, calibration_rows: int = CALIBRATION_ROWS, id_column: str = "doc_id", text_column: str = "text") -> Toxicity | None:
     """Model from the training labels; None if they do not hold both classes."""
     with bounded_batches(docs.sparkSession):
-        return _fitted(docs, labels, sample_rows, calibration_rows, model_grams, id_column, text_column)
+        return _fitted(docs, labels, sample_rows, calibration_rows, id_column, text_column)
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, sample_rows: int, calibration_rows: int, model_grams: int, id_column: str, text_column: str) -> Toxicity | None:
+def _fitted(docs: DataFrame, labels: DataFrame, sample_rows: int, calibration_rows: int, id_column: str, text_column: str) -> Toxicity | None:
     sample = materialize(labelled_sample(labels, "toxic", sample_rows), "labelled")
     if sample.select("label").distinct().count() < 2:
         return None
-    spark = docs.sparkSession
-    models = spark.sparkContext.broadcast(fit_evidence(docs, sample, model_grams, id_column, text_column))
-
-    def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, _BATCH_DOCS, _BATCH_BYTES):
-            texts, fold = batch.column("text").to_pylist(), batch.column("fold").to_numpy(zero_copy_only=False)
-            rows = np.zeros((len(texts), FEATURES))
-            for f, name in ((0, "without0"), (2, "without2")):
-                at = np.flatnonzero(fold == f)
-                if len(at):
-                    rows[at] = features([texts[i] for i in at], models.value[name])
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "label": batch.column("label"), "features": pa.array(rows.tolist(), pa.list_(pa.float64()))})
+    grams, histories = fit_evidence(docs, sample, id_column, text_column)
+
+    def sample_features(rows: pa.Table, evidence: dict[str, Evidence]) -> pa.Table:
+        texts, fold = rows.column("text").to_pylist(), rows.column("fold").to_numpy()
+        out = np.zeros((len(texts), FEATURES))
+        for f, name in ((0, "without0"), (2, "without2")):
+            at = np.flatnonzero(fold == f)
+            if len(at):
+                out[at] = features([texts[i] for i in at], evidence[name])
+        return pa.table({"id": rows.column("id"), "label": rows.column("label"), "features": pa.array(out.tolist(), pa.list_(pa.float64()))})
 
     few = F.broadcast(sample.orderBy(F.xxhash64("id"), "id").limit(calibration_rows))
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(few, "id")
-    found = texts.mapInArrow(sample_features, "id bigint, label int, features array<double>").dropDuplicates(["id"]).collect()
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(few, "id").select("id", "text", F.col("label").cast("int").alias("label"), "fold")
+    found = _with_evidence(texts, grams, histories, "text", sample_features, "id bigint, label int, features array<double>").dropDuplicates(["id"]).collect()
     found.sort(key=lambda r: r["id"])
     if len({r["label"] for r in found}) < 2:
         return None
     x, y = np.array([r["features"] for r in found]), np.array([r["label"] for r in found], dtype=float)
     middle, width = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    return Toxicity(models.value["all"], middle, width, _logistic((x - middle) / width, y))
-
-
-def _scores(model: Toxicity | None, texts: pa.Array) -> np.ndarray:
-    return model.scores(texts.to_pylist()) if model else np.zeros(len(texts))
+    return Toxicity(grams, histories, middle, width, _logistic((x - middle) / width, y))
 
 
 def scored(docs: DataFrame, model: Toxicity | None, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, score, predicted) of every document; null texts score as empty ones, and 0 without a model."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
+    if model is None:
+        return rows.select("id", F.lit(0.0).alias("score"), F.lit(int(threshold <= 0)).alias("predicted"))
+    scores = model.scores()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, _BATCH_DOCS, _BATCH_BYTES):
-            score = _scores(shared.value, batch.column("text"))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "score": score, "predicted": pa.array((score >= threshold).astype(np.int32))})
+    def work(table: pa.Table, evidence: dict[str, Evidence]) -> pa.Table:
+        score = scores(table.column("text").to_pylist(), evidence["all"])
+        return pa.table({"id": table.column("id"), "score": score, "predicted": pa.array((score >= threshold).astype(np.int32))})
 
-    rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).mapInArrow(work, "id bigint, score double, predicted int")
     with bounded_batches(docs.sparkSession):
-        return materialize(rows, "scores")
+        return materialize(_with_evidence(rows, model.grams, model.histories, "text", work, "id bigint, score double, predicted int"), "scores")
 
 
 def keep_ordinary(docs: DataFrame, model: Toxicity | None, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Only the documents below the threshold, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if model is None:
+        return docs.where(F.lit(0.0 < threshold))
+    scores = model.scores()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, _BATCH_DOCS, _BATCH_BYTES):
-            score = _scores(shared.value, batch.column(batch.schema.get_field_index(text_column)))
-            yield batch.filter(pa.array(score < threshold))
+    def work(table: pa.Table, evidence: dict[str, Evidence]) -> pa.Table:
+        return table.filter(pa.array(scores(table.column(text_column).to_pylist(), evidence["all"]) < threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    with bounded_batches(docs.sparkSession):
+        return _with_evidence(docs, model.grams, model.histories, text_column, work, docs.schema)

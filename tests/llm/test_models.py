@@ -65,3 +65,16 @@ def test_models_on_awkward_rows(spark):
     assert {r.predicted for r in toxicity.scored(docs, None).collect()} == {0}
     assert quality.keep_good(docs, None).columns == toxicity.keep_ordinary(docs, None).columns == docs.columns
     assert quality.judged(helpers.docs(spark, []), None).collect() == []
+
+
+def test_every_gram_of_the_training_rows_is_evidence(spark):
+    """More grams than any table of a fixed size kept on the executors would hold."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rare = [(1_000_000 + i, " ".join(f"{j:x}z{i * 7919 + j * 104729:x}q" for j in range(60))) for i in range(3000)]
+    more = spark.createDataFrame(rare, "doc_id long, text string")
+    sample = labels.select("doc_id").limit(0).unionByName(more.select("doc_id")).selectExpr("doc_id id", "cast(doc_id % 2 as int) label", "cast(doc_id % 4 div 2 * 2 as int) fold")
+    grams, histories = toxicity.fit_evidence(docs.select("doc_id", "text").unionByName(more), sample)
+    words = {"\x02" + w + "\x03" for _, t in rare for w in t.split()}
+    expected = {w[max(0, e - 6) : e] for w in words for e in range(2, len(w) + 1)}
+    assert len(expected) > 1 << 18
+    assert grams.count() == len(expected) and histories.count() == len({g[:-1] for g in expected})
