@@ -132,17 +132,11 @@ def _coarse_logistic(spark: SparkSession, sf_dir: str, label: str):
     return shared(spark, sf_dir, f"logistic {label}", lambda: train_coarse_logistic(coarse_table(spark, sf_dir), label))
 
 
-# Settings for the registered queries; the library defaults are larger.
-FINE_FOREST = {"numTrees": 30, "maxDepth": 10, "minInstancesPerNode": 10}
-COARSE_FOREST = {"numTrees": 20, "maxDepth": 10, "minInstancesPerNode": 2}
-SEARCH_GRID = {"numTrees": [5, 10], "maxDepth": [4, 6], "minSplit": [2, 5], "minInstancesPerNode": [1, 4]}
-
-
 def _fine_forest(spark: SparkSession, sf_dir: str) -> Model:
     def build() -> Model:
         t = fine_table(spark, sf_dir)
         train = t.data.where(F.col(SPLIT) == "train")
-        return models.fit_forest(models.balanced_rows(train, t.features, LABEL, CLASSES_FINE), FINE_FOREST)
+        return models.fit_forest(models.balanced_rows(train, t.features, LABEL, CLASSES_FINE), models.FINE_FOREST)
 
     return shared(spark, sf_dir, "fine forest", build)
 
@@ -183,10 +177,19 @@ def fine_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split_metrics(_fine_forest(spark, sf_dir), fine_table(spark, sf_dir), LABEL, CLASSES_FINE)
 
 
+def _forest_search(spark: SparkSession, sf_dir: str, label: str, classes: list[str]) -> tuple[dict, DataFrame]:
+    def build() -> tuple[dict, DataFrame]:
+        t = coarse_table(spark, sf_dir)
+        train = t.data.where(F.col(SPLIT) == "train")
+        return models.tune_forest(train, ROW_ID, t.features, label, classes, TUNE_SUBSET_ROWS)
+
+    return shared(spark, sf_dir, f"forest search {label}", build)
+
+
 def _coarse_forest(spark: SparkSession, sf_dir: str, label: str, classes: list[str]) -> DataFrame:
     t = coarse_table(spark, sf_dir)
     train = t.data.where(F.col(SPLIT) == "train")
-    model = models.fit_forest(models.balanced_rows(train, t.features, label, classes), COARSE_FOREST)
+    model = models.fit_forest(models.balanced_rows(train, t.features, label, classes), _forest_search(spark, sf_dir, label, classes)[0])
     return _split_metrics(model, t, label, classes)
 
 
@@ -202,9 +205,7 @@ def family_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m08_forest_search")
 def forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = coarse_table(spark, sf_dir)
-    train = t.data.where(F.col(SPLIT) == "train")
-    return models.tune_forest(train, ROW_ID, t.features, FAMILY_LABEL, FAMILIES, TUNE_SUBSET_ROWS, SEARCH_GRID, draws=4)[1]
+    return _forest_search(spark, sf_dir, FAMILY_LABEL, FAMILIES)[1]
 
 
 @query("m09_fine_model_scoring")
