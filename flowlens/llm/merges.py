@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import heapq
 import itertools
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -31,15 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .batches import gathered
+from ..workspace import discard, materialize
+from .batches import bounded_batches, gathered
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The lexicon holds at most this many words of at most so many bytes: 32 MB as a proven bound.
 LEXICON_WORDS = 1 << 18
 LEXICON_WORD_BYTES = 64
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _BLOCK_ROWS = 1 << 14
-_REPLAY_BYTES = 8 << 20
+_OUT_BYTES = 4 << 20
+_REPLAY_BYTES = 2 << 20
 _NO_RANK = np.int64(1) << 40
 
 _split: Callable[[str], list[str]] | None = None
@@ -57,7 +60,9 @@ def splitter() -> Callable[[str], list[str]]:
         from tokenizers import pre_tokenizers
 
         library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        everything = "".join(map(chr, itertools.chain(range(0x80, 0xD800), range(0xE000, 0x110000))))
+        # characters that this Python's older tables know are classed alike by all
+        points = itertools.chain(range(0x80, 0xD800), range(0xE000, 0x110000))
+        everything = "".join(c for c in map(chr, points) if unicodedata.category(c) == "Cn")
         newer = []
         for sort, lead in ((r"\p{L}", "a"), (r"\p{N}", "1")):
             found = regex.findall(sort, everything)
@@ -162,6 +167,10 @@ class Replay:
                 places = places[(ordinal - head) % 2 == 0]
             gone = after[places]
             beyond = after[gone]
+            # one by one from the left, a merge meets its right neighbour before that is merged itself
+            close = np.flatnonzero(beyond[:-1] == places[1:])
+            met = self._rank_of(np.full(len(close), now), token[beyond[close]]) < now
+            irregular.update(word[places[close[met]]].tolist())
             token[places] = now
             alive[gone] = False
             rank[gone] = _NO_RANK
@@ -289,7 +298,7 @@ class _Lexicon:
             for w in words:
                 if w not in known and w not in place:
                     place[w] = len(known) + len(place)
-            rows.append(np.fromiter([known[w] if w in known else place[w] for w in words], dtype=np.int64, count=len(words)))
+            rows.append(np.fromiter([known[w] if w in known else place[w] for w in words], dtype=np.int32, count=len(words)))
         ids, edges = replay(self.path).ids([w.encode() for w in place])
         flat = np.concatenate([self.flat, ids])
         edges = np.concatenate([self.edges, self.edges[-1] + edges[1:]])
@@ -300,11 +309,19 @@ class _Lexicon:
             yield flat[np.arange(total) + np.repeat(edges[row] - ends + sizes, sizes)].tobytes()
 
 
-def encoded(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """(id, n_tokens, ids): each text's ids as little-endian unsigned 32-bit integers, one row per row."""
+def encoded(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY, lexicon_words: int = LEXICON_WORDS, decode: bool = False
+) -> DataFrame:
+    """(id, n_tokens, ids): each text's ids as little-endian unsigned 32-bit integers, one row per row.
+
+    With ``decode`` also ``bytes``, what the ids spell; ``decoded`` does the same for stored ids.
+    """
     path = public_tokenizers.path(vocabulary)
     spark = docs.sparkSession
-    words = replayed(frequent(word_counts(docs, text_column), lexicon_words), path).toArrow()
+    with bounded_batches(spark):
+        counts = materialize(word_counts(docs, text_column), "words")
+        words = replayed(frequent(counts, lexicon_words), path).toArrow()
+    discard(counts)
     lexicon = spark.sparkContext.broadcast(words)
     held: list[_Lexicon] = []
 
@@ -317,19 +334,27 @@ def encoded(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             for ids in held[0].block(_texts(batch, "__text")):
                 found.append(ids)
                 size += len(ids)
-                if size >= BLOCK_BYTES:
-                    yield _rows(batch.column(0).slice(at, len(found)), found)
+                if size >= _OUT_BYTES:
+                    yield rows(batch.column(0).slice(at, len(found)), found)
                     at, found, size = at + len(found), [], 0
             if found:
-                yield _rows(batch.column(0).slice(at, len(found)), found)
+                yield rows(batch.column(0).slice(at, len(found)), found)
+
+    def rows(ids: pa.Array, found: list[bytes]) -> pa.RecordBatch:
+        columns = [ids, pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())]
+        if decode:
+            columns.append(pa.array(_spelled(found, path), pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = StructType([StructField("id", docs.schema[id_column].dataType), StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
+    fields = [StructField("id", docs.schema[id_column].dataType), StructField("n_tokens", LongType()), StructField("ids", BinaryType())]
+    schema = StructType(fields + [StructField("bytes", BinaryType())] * decode)
+    names = schema.names
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("__text")).mapInArrow(work, schema)
 
 
-def _rows(ids: pa.Array, found: list[bytes]) -> pa.RecordBatch:
-    numbers = pa.array([len(x) // 4 for x in found], pa.int64())
-    return pa.RecordBatch.from_arrays([ids, numbers, pa.array(found, pa.binary())], ["id", "n_tokens", "ids"])
+def _spelled(ids: list[bytes], path: str) -> list[bytes]:
+    token_of = replay(path).token_of
+    return [b"".join(map(token_of.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in ids]
 
 
 def decoded(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -337,10 +362,9 @@ def decoded(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     path = public_tokenizers.path(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_of = replay(path).token_of
         for batch in batches:
             place = batch.schema.get_field_index("ids")
-            texts = [b"".join(map(token_of.__getitem__, np.frombuffer(x.as_py() or b"", dtype="<u4").tolist())) for x in batch.column(place)]
+            texts = _spelled([x.as_py() or b"" for x in batch.column(place)], path)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "bytes"])
 
     return tokens.mapInArrow(work, StructType([*tokens.schema.fields, StructField("bytes", BinaryType())]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, fingerprint, merges, neardup, packing, pages, pieces, quality, sharding, substring, toxicity, wavelet
+from . import alignment, audit, fingerprint, merges, neardup, packing, pages, pieces, quality, sharding, substring, toxicity, wavelet
 from .labelled import training_remainder
 
 SHARDS = 24
@@ -60,10 +60,16 @@ def op10_piece_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = merges.decoded(merges.encoded(_table(spark, sf_dir, "documents")))
+    tokens = merges.encoded(_table(spark, sf_dir, "documents"), decode=True)
     return tokens.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.aligned(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.col("groups"), 256))
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audited(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -73,7 +79,7 @@ QUERIES = {
     for f in (
         op1_substring_dedup, op2_quality_rules, op3_minhash_near_dedup, op4_html_extraction, op5_token_files,
         op6_toxicity, op7_fingerprints, op8_packing, op9_sharding, op10_piece_paths,
-        op11_merge_replay, op13_filter_audit,
+        op11_merge_replay, op12_token_alignment, op13_filter_audit,
     )
 }
 
