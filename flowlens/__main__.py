@@ -14,12 +14,13 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.linear_training import epoch_table
 from .operators.metrics import metrics_table
 from .operators.monitoring import class_predictions, family_predictions, health, prediction_summary
 from .plans.prepare import ROW_ID, Prepared, fine_checks, prepare_coarse, prepare_fine
 from .plans.score import score_csv
 from .plans.train import (
-    evaluate, train_coarse_forest, train_coarse_logistic, train_fine_forest, train_fine_logistic,
+    coarse_search_rows, evaluate, train_coarse_forest, train_coarse_minibatch, train_fine_forest, train_fine_logistic,
 )
 from .schema import BINARY_CLASSES, BINARY_LABEL, CLASSES_FINE, FAMILIES, FAMILY_LABEL, LABEL
 from .sources import tables
@@ -55,15 +56,16 @@ def _prepared(spark: SparkSession, path: str) -> Prepared:
 def train(spark: SparkSession, kind: str, model: str, source: str, output: str) -> None:
     table = _prepared(spark, source)
     if kind == "fine":
-        fit = train_fine_forest if model == "forest" else train_fine_logistic
-        models = {"fine": (fit(table), LABEL, CLASSES_FINE)}
+        fitted = train_fine_forest(table) if model == "forest" else train_fine_logistic(table)[0]
+        models = {"fine": (fitted, LABEL, CLASSES_FINE)}
     else:
-        models = {}
+        models, search = {}, coarse_search_rows(table) if model == "forest" else None
         for name, label, classes in (("binary", BINARY_LABEL, BINARY_CLASSES), ("family", FAMILY_LABEL, FAMILIES)):
             if model == "forest":
-                fitted = train_coarse_forest(table, label, ROW_ID)
+                fitted = train_coarse_forest(table, label, ROW_ID, binned_rows=search)
             else:
-                fitted, _ = train_coarse_logistic(table, label)
+                fitted, trained = train_coarse_minibatch(table, label)
+                tables.write_report(epoch_table(spark, trained), f"{output}/reports/{name}/epochs")
             models[name] = (fitted, label, classes)
     bundle = tables.Bundle(table.prep, {n: m[0] for n, m in models.items()}, {n: m[2] for n, m in models.items()})
     tables.save_bundle(bundle, output, spark)

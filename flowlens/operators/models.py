@@ -8,15 +8,14 @@ from dataclasses import dataclass
 
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import decode, encode
 from ..functions.probabilities import log_loss
 from ..schema import SEED, TUNE_DRAWS, TUNE_FOLDS, ident
+from .forest_search import binned, search
 from .metrics import class_weights, clipped_class_weights, confusion_counts, summary_metrics, weighted_loss, with_class_weight
 from .sampling import stratified_folds, stratified_subset
 from .scoring import feature_vector
@@ -63,20 +62,36 @@ def fit_logistic(rows: DataFrame, max_iter: int, reg_param: float, tol: float =
     ).fit(rows)
 
 
-def fit_fine_logistic(rows: DataFrame, iterations: list[int] | None = None) -> Model:
-    """L2-regularised multinomial model; retried with more iterations until it
-    converges, else the last attempt is kept.
+@dataclass
+class Attempt:
+    solver: str
+    limit: int
+    iterations: int
+    converged: bool
+    objective: float
 
-    Spark divides the loss by the sum of weights, so a unit penalty on the
-    summed loss is 1 / sum(weight).
-    """
-    total = rows.agg(F.sum("weight")).first()[0]
-    model = None
+
+def unit_penalty(rows: DataFrame) -> float:
+    """Spark divides the loss by the sum of weights, so a unit penalty on the summed loss is 1 / sum(weight)."""
+    return 1.0 / rows.agg(F.sum("weight")).first()[0]
+
+
+def fit_fine_logistic(rows: DataFrame, iterations: list[int] | None = None, penalty: float | None = None) -> tuple[Model, list[Attempt]]:
+    """L2-regularised multinomial model, retried with more iterations until it converges; the last attempt if none does."""
+    penalty = penalty or unit_penalty(rows)
+    model, attempts = None, []
     for limit in iterations or LOGISTIC_ITERATIONS:
-        model = fit_logistic(rows, limit, 1.0 / total)
-        if model.summary.totalIterations < limit:
+        model = fit_logistic(rows, limit, penalty)
+        used = model.summary.totalIterations
+        attempts.append(Attempt("l-bfgs", limit, used, used < limit, float(model.summary.objectiveHistory[-1])))
+        if attempts[-1].converged:
             break
-    return model
+    return model, attempts
+
+
+def attempts_table(spark: SparkSession, attempts: list[Attempt]) -> DataFrame:
+    rows = [(i + 1, a.solver, a.limit, a.iterations, a.converged, a.objective) for i, a in enumerate(attempts)]
+    return spark.createDataFrame(rows, "attempt int, solver string, max_iter int, iterations int, converged boolean, objective double")
 
 
 @dataclass
@@ -170,40 +185,43 @@ def draw_settings(grid: dict[str, list], draws: int = TUNE_DRAWS, seed: int = SE
     return random.Random(seed).sample(every, min(draws, len(every)))
 
 
+def search_rows(
+    df: DataFrame, row_id: str, features: list[str], labels: list[str], stratum: str, subset_rows: int,
+    folds: int = TUNE_FOLDS, seed: int = SEED,
+) -> DataFrame:
+    """At most ``subset_rows`` rows, stratified, dealt to stratified folds and binned; stored once for searches of all ``labels``."""
+    subset = stratified_subset(df, row_id, stratum, subset_rows, seed)
+    folded = stratified_folds(subset, row_id, stratum, folds, seed, "fold")
+    return binned(folded, features, [*labels, "fold"])
+
+
 def tune_forest(
-    df: DataFrame, row_id: str, features: list[str], label: str, classes: list[str], subset_rows: int,
-    grid: dict[str, list] | None = None, draws: int = TUNE_DRAWS, folds: int = TUNE_FOLDS,
-    seed: int = SEED, parallelism: int = 4,
+    rows: DataFrame, label: str, classes: list[str], grid: dict[str, list] | None = None, draws: int = TUNE_DRAWS, seed: int = SEED,
 ) -> tuple[dict, DataFrame]:
-    """Randomized search by weighted F1 over stratified folds of a subset.
+    """Randomized search by weighted F1 over the folds of ``search_rows``.
 
-    Returns the best settings and a table of all tried ones.
+    Returns the best settings (the first of equals) and a table of all tried ones.
     """
     settings = draw_settings(grid or FOREST_GRID, draws, seed)
-    subset = stratified_subset(df, row_id, label, subset_rows, seed)
-    folded = stratified_folds(subset, row_id, label, folds, seed, "fold")
-    rows = balanced_rows(folded, features, label, classes, keep=["fold"])
-    estimator = forest({}, seed=seed)
-    maps = []
     for s in settings:
-        maps.append({
-            estimator.numTrees: s["numTrees"], estimator.maxDepth: tree_depth(s["maxDepth"]),
-            estimator.minInstancesPerNode: s["minInstancesPerNode"],
-        })
-    search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=maps, numFolds=folds, foldCol="fold", parallelism=parallelism,
-        evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="f1"), seed=seed,
-    )
-    scores = search.fit(rows).avgMetrics
-    best = max(range(len(settings)), key=lambda i: scores[i])
-    table = df.sparkSession.createDataFrame(
-        [(i, s["numTrees"], s["maxDepth"], s.get("minSplit"), s["minInstancesPerNode"], float(f))
-         for i, (s, f) in enumerate(zip(settings, scores))],
-        "draw int, trees int, depth int, min_split int, min_leaf int, weighted_f1 double",
-    )
+        tree_depth(s["maxDepth"])
+    by_fold = search(rows, label, classes, settings, DEEPEST, seed)
+    # a row per draw
+    found = by_fold.groupBy("draw").agg(F.avg("weighted_f1").alias("f1"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("folds")).collect()
+    scores = {r["draw"]: r for r in found}
+    best = max(range(len(settings)), key=lambda i: (scores[i]["f1"], -i))
+    table = search_table(rows.sparkSession, settings, scores)
     return settings[best], table
 
 
+def search_table(spark: SparkSession, settings: list[dict], scores: dict) -> DataFrame:
+    return spark.createDataFrame(
+        [(i, s["numTrees"], s["maxDepth"], s.get("minSplit"), s["minInstancesPerNode"], scores[i]["folds"], scores[i]["rows"], float(scores[i]["f1"]))
+         for i, s in enumerate(settings)],
+        "draw int, trees int, depth int, min_split int, min_leaf int, folds long, scored_rows long, weighted_f1 double",
+    )
+
+
 def score_splits(model: Model, rows: DataFrame, classes: list[str], keep: list[str]) -> DataFrame:
     """Truth and prediction of every row, with the kept columns."""
     return model.transform(rows).select(

@@ -5,13 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import DenseMatrix, Vectors
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import decode
 from ..functions.numeric import round_probability
-from ..functions.probabilities import argmax, confidence, linear_softmax, top_classes
+from ..functions.probabilities import confidence, top_classes
 from ..schema import ident
 from .transforms import skew_log, standardized
 
@@ -108,13 +111,22 @@ def score_coarse(
     )
 
 
+def linear_model(spark: SparkSession, weights: list[list[float]], bias: list[float]) -> LogisticRegressionModel:
+    """A Spark ML classifier with the given weights (a row per class): scored, copied and saved like a fitted one."""
+    sc = spark.sparkContext
+    matrix = DenseMatrix(len(weights), len(weights[0]), [w for row in weights for w in row], isTransposed=True)
+    uid = sc._jvm.org.apache.spark.ml.util.Identifiable.randomUID("logreg")
+    made = sc._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        uid, _py2java(sc, matrix), _py2java(sc, Vectors.dense(bias)), len(weights), True)
+    return LogisticRegressionModel(made)
+
+
 def score_fine_linear(
     df: DataFrame, prep: Preprocessing, weights: list[list[float]], bias: list[float], classes: list[str],
     keep: list[str], rounded: bool = True,
 ) -> DataFrame:
-    """Fine predictions from a plain weight matrix, without a model object."""
-    scored = df.withColumn("fine_proba", linear_softmax(prep.inputs(), weights, bias))
-    return fine_prediction(scored, "fine_proba", argmax(F.col("fine_proba")), classes, keep, rounded)
+    """Fine predictions from a plain weight matrix."""
+    return score_fine(df, prep, linear_model(df.sparkSession, weights, bias), classes, keep, rounded)
 
 
 def score_coarse_linear(
@@ -122,12 +134,5 @@ def score_coarse_linear(
     binary: tuple[list[list[float]], list[float], list[str]], family: tuple[list[list[float]], list[float], list[str]],
     keep: list[str], rounded: bool = True,
 ) -> DataFrame:
-    inputs = prep.inputs()
-    scored = df.withColumns({
-        "binary_proba": linear_softmax(inputs, binary[0], binary[1]),
-        "family_proba": linear_softmax(inputs, family[0], family[1]),
-    })
-    return coarse_prediction(
-        scored, ("binary_proba", argmax(F.col("binary_proba")), binary[2]),
-        ("family_proba", argmax(F.col("family_proba")), family[2]), keep, rounded,
-    )
+    models = [linear_model(df.sparkSession, *m[:2]) for m in (binary, family)]
+    return score_coarse(df, prep, *models, binary[2], family[2], keep, rounded)

@@ -106,7 +106,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     split = F.when(c("g") < 8, "train").when(c("g") == 8, "val").otherwise("test")
     return classed.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias(ROW_ID),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(c("l_extendedprice") * 100).cast("long")).alias(ROW_ID),
         c("l_orderkey"), c("l_linenumber"), c("l_partkey"), c("l_suppkey"),
         c("l_shipdate").cast("timestamp").alias("ts"),
         decode(k, CLASSES_FINE).alias(LABEL), decode(pred_idx, CLASSES_FINE).alias("predicted"),

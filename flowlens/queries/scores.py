@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from pyspark.ml import Model
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import encode
-from ..functions.probabilities import linear_softmax, log_loss
-from ..operators import metrics, models
+from ..functions.probabilities import log_loss
+from ..operators import linear_training, metrics, models
+from ..operators.sampling import stratified_subset
 from ..operators.sanitize import COARSE_LABELS, FINE_LABELS, sanitize
-from ..operators.scoring import score_coarse, score_coarse_linear, score_fine, score_fine_linear
+from ..operators.scoring import apply_model, feature_vector, linear_model, score_coarse, score_coarse_linear, score_fine, score_fine_linear
 from ..plans.flows import ROW_ID, flows
 from ..plans.prepare import Prepared, prepare_coarse, prepare_fine
-from ..plans.train import evaluate, train_coarse_logistic, train_fine_logistic
+from ..plans.train import coarse_search_rows, evaluate, train_coarse_logistic, train_coarse_minibatch, train_fine_logistic
 from ..schema import (
     BINARY_CLASSES, BINARY_LABEL, CLASSES_FINE, FAMILIES, FAMILY_LABEL, FEATURES_COARSE, FEATURES_FINE, LABEL, SPLIT,
     TUNE_SUBSET_ROWS, ident,
@@ -30,6 +31,9 @@ from .common import (
 from .registry import query, shared
 from .sqltext import over_flows, text
 
+#: A tuned coarse forest is fitted on at most this many stratified rows, as many as its search reads.
+FOREST_ROWS = TUNE_SUBSET_ROWS
+
 # --- scoring with fixed weights -------------------------------------------------
 
 _FINE_P = [clean_cte(), *probability_ctes(FEATURES_FINE, "clean", 34, "f")]
@@ -103,8 +107,9 @@ def weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = flows(spark, sf_dir)
     tidy = sanitize(df.withColumnRenamed(LABEL, "truth"), FEATURES_FINE, FINE_LABELS, ["truth", SPLIT]).data
     weights, bias = fixed_weights(len(FEATURES_FINE), len(CLASSES_FINE))
-    p = linear_softmax(fine_preprocessing(spark, sf_dir).inputs(), weights, bias)
-    scored = tidy.select(SPLIT, F.col("truth").alias(LABEL), log_loss(p, encode(F.col("truth"), CLASSES_FINE)).alias("loss"))
+    vectors = tidy.withColumn("__x", feature_vector(fine_preprocessing(spark, sf_dir).inputs()))
+    scored = apply_model(vectors, linear_model(spark, weights, bias), "__x", "fine")
+    scored = scored.select(SPLIT, F.col("truth").alias(LABEL), log_loss(F.col("fine_proba"), encode(F.col("truth"), CLASSES_FINE)).alias("loss"))
     weighted = metrics.with_class_weight(scored, metrics.class_weights(df), LABEL)
     return metrics.weighted_loss(weighted, F.col("loss"), F.col("weight"), [SPLIT]).withColumn("loss", F.round("loss", 6))
 
@@ -124,12 +129,17 @@ def coarse_table(spark: SparkSession, sf_dir: str) -> Prepared:
     return shared(spark, sf_dir, "coarse table", lambda: prepare_coarse(_raw(spark, sf_dir), ROW_ID))
 
 
+def _fine_attempts(spark: SparkSession, sf_dir: str) -> tuple[Model, list[models.Attempt]]:
+    return shared(spark, sf_dir, "fine logistic", lambda: train_fine_logistic(fine_table(spark, sf_dir), ROW_ID))
+
+
 def _fine_logistic(spark: SparkSession, sf_dir: str) -> Model:
-    return shared(spark, sf_dir, "fine logistic", lambda: train_fine_logistic(fine_table(spark, sf_dir)))
+    return _fine_attempts(spark, sf_dir)[0]
 
 
-def _coarse_logistic(spark: SparkSession, sf_dir: str, label: str):
-    return shared(spark, sf_dir, f"logistic {label}", lambda: train_coarse_logistic(coarse_table(spark, sf_dir), label))
+def _coarse_logistic(spark: SparkSession, sf_dir: str, label: str) -> tuple[Model, linear_training.Trained]:
+    """Mini-batch model and its epochs."""
+    return shared(spark, sf_dir, f"logistic {label}", lambda: train_coarse_minibatch(coarse_table(spark, sf_dir), label, ROW_ID))
 
 
 def _fine_forest(spark: SparkSession, sf_dir: str) -> Model:
@@ -164,12 +174,106 @@ def family_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m04_candidate_selection")
 def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.history_table(spark, _coarse_logistic(spark, sf_dir, FAMILY_LABEL)[1])
+    """Penalties tried by the full-batch alternative."""
+    return models.history_table(spark, train_coarse_logistic(coarse_table(spark, sf_dir), FAMILY_LABEL)[1])
+
+
+@query("m04_epoch_selection")
+def epoch_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per epoch of the family model: validation score and whether its weights were kept."""
+    return linear_training.epoch_table(spark, _coarse_logistic(spark, sf_dir, FAMILY_LABEL)[1]).select("epoch", "val_f1", "kept")
 
 
 @query("m05_training_history")
 def training_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.objective_history(spark, _fine_logistic(spark, sf_dir))
+    """One row per epoch of the binary model: rate, losses and scores."""
+    return linear_training.epoch_table(spark, _coarse_logistic(spark, sf_dir, BINARY_LABEL)[1]).drop("kept")
+
+
+@query("m05_objective_history")
+def objective_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training loss after each L-BFGS iteration of the fine model."""
+    rows = [(i, a.solver, a.iterations, a.objective) for i, a in enumerate(_fine_attempts(spark, sf_dir)[1], 1)]
+    model = _fine_logistic(spark, sf_dir)
+    if not model.hasSummary:
+        return spark.createDataFrame([(r[2], r[3]) for r in rows], "iteration int, loss double")
+    return models.objective_history(spark, model)
+
+
+# --- invariants of trained models, restated in SQL --------------------------------
+
+_SIZES = """sizes AS (SELECT n, ceil(0.2 * n)::BIGINT AS held, ceil(0.5 * ceil(0.2 * n))::BIGINT AS test FROM (SELECT count(*) AS n FROM flows)),
+split_sizes AS (SELECT 'train' AS split, n - held AS rows FROM sizes UNION ALL SELECT 'val', held - test FROM sizes UNION ALL SELECT 'test', test FROM sizes)"""
+_LABELS = "labels(label) AS (VALUES ('Label_2'), ('Label_8'))"
+
+
+def _judged(table: DataFrame, counts: DataFrame, label: str) -> DataFrame:
+    """Rows of each split, whether its scores lie in their range, and whether the model beats naming the largest class."""
+    scores = metrics.summary_metrics(counts, [SPLIT])
+    largest = counts.groupBy(SPLIT, "truth").agg(F.sum("n").alias("n")).groupBy(SPLIT).agg(F.sum("n").alias("rows"), (F.max("n") / F.sum("n")).alias("share"))
+    in_range = F.lit(True)
+    for m in (*metrics.METRICS, "weighted_f1"):
+        in_range = in_range & F.col(m).between(0, 1)
+    return scores.join(largest, SPLIT).select(
+        F.lit(label).alias("label"), SPLIT, "rows", in_range.alias("in_range"), (F.col("accuracy") > F.col("share")).alias("beats_largest_class"))
+
+
+def _invariants(spark: SparkSession, sf_dir: str, model_of) -> DataFrame:
+    table, out = coarse_table(spark, sf_dir), None
+    for label, classes in ((BINARY_LABEL, BINARY_CLASSES), (FAMILY_LABEL, FAMILIES)):
+        part = _judged(table.data, evaluate(model_of(label, classes), table, label, classes).counts, label)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("m02_m03_minibatch_invariants", over_flows("SELECT label, split, rows, true AS in_range, true AS beats_largest_class FROM labels, split_sizes", _SIZES, _LABELS))
+def minibatch_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _invariants(spark, sf_dir, lambda label, classes: _coarse_logistic(spark, sf_dir, label)[0])
+
+
+@query("m04_early_stopping", """SELECT label, true AS one_row_per_epoch, true AS winner_agrees, true AS stop_agrees, true AS best_weights_restored
+FROM (VALUES ('Label_2'), ('Label_8')) t(label)""")
+def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winner and stop derived in SQL from the history of each mini-batch model, against the trainer's own."""
+    table, out = coarse_table(spark, sf_dir), None
+    for label, classes in ((BINARY_LABEL, BINARY_CLASSES), (FAMILY_LABEL, FAMILIES)):
+        model, trained = _coarse_logistic(spark, sf_dir, label)
+        history = linear_training.epoch_table(spark, trained)
+        delta, patience = linear_training.EARLY_STOP_DELTA, linear_training.EARLY_STOP_PATIENCE
+        walked = history.groupBy().agg(F.array_sort(F.collect_list(F.struct("epoch", "val_f1"))).alias("h"), F.max("epoch").alias("last"), F.count(F.lit(1)).alias("n")).select(
+            "last", "n", F.expr(f"""aggregate(h, named_struct('best', CAST(NULL AS DOUBLE), 'epoch', 0, 'stop', 0),
+              (s, e) -> IF(s.best IS NULL OR e.val_f1 > s.best + {delta!r}D, named_struct('best', e.val_f1, 'epoch', e.epoch, 'stop', s.stop),
+                named_struct('best', s.best, 'epoch', s.epoch, 'stop', IF(s.stop = 0 AND e.epoch - s.epoch >= {patience}, e.epoch, s.stop))))""").alias("s"))
+        stop = F.when(F.col("s.stop") > 0, F.col("s.stop")).otherwise(linear_training.EPOCHS)
+        counts = evaluate(model, table, label, classes).counts.where(F.col(SPLIT) == "val")
+        restored = metrics.summary_metrics(counts).select((F.abs(F.col("f1") - max(e.val_f1 for e in trained.history if e.epoch == trained.best_epoch)) < 1e-9).alias("best_weights_restored"))
+        part = walked.select(
+            F.lit(label).alias("label"), (F.col("n") == F.col("last")).alias("one_row_per_epoch"),
+            (F.col("s.epoch") == trained.best_epoch).alias("winner_agrees"), (stop == F.col("last")).alias("stop_agrees")).join(restored)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_RETRY = [1, 2]
+
+
+@query("m01_solver_retry", """SELECT * FROM (VALUES (1, 'l-bfgs', 1, false, false), (2, 'l-bfgs', 2, false, false), (3, 'variance-reduced', 200, true, true))
+t(attempt, solver, max_iter, converged, reaches_objective)""")
+def solver_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-BFGS is stopped after one and two iterations: the second solver has to reach the objective of the model that converged."""
+    model, attempts = train_fine_logistic(fine_table(spark, sf_dir), ROW_ID, iterations=_RETRY)
+    least = _fine_attempts(spark, sf_dir)[1][-1].objective
+    return models.attempts_table(spark, attempts).select(
+        "attempt", "solver", "max_iter", "converged", (F.abs(F.col("objective") - least) < 1e-4).alias("reaches_objective"))
+
+
+@query("m01_fine_invariants", "SELECT split, CAST(1 AS BIGINT) AS row_sets, true AS in_range, true AS beats_largest_class FROM (VALUES ('train'), ('val'), ('test')) t(split)")
+def fine_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = fine_table(spark, sf_dir)
+    counts = evaluate(_fine_logistic(spark, sf_dir), table, LABEL, CLASSES_FINE).counts
+    sizes = table.data.groupBy(SPLIT).agg(F.count(F.lit(1)).alias("size"))
+    return _judged(table.data, counts, LABEL).join(sizes, SPLIT).select(
+        SPLIT, (F.col("rows") == F.col("size")).cast("long").alias("row_sets"), "in_range", "beats_largest_class")
 
 
 @query("m06_fine_forest")
@@ -177,20 +281,28 @@ def fine_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split_metrics(_fine_forest(spark, sf_dir), fine_table(spark, sf_dir), LABEL, CLASSES_FINE)
 
 
+def _search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binned rows of the searches of both labels."""
+    return shared(spark, sf_dir, "search rows", lambda: coarse_search_rows(coarse_table(spark, sf_dir), ROW_ID, TUNE_SUBSET_ROWS))
+
+
 def _forest_search(spark: SparkSession, sf_dir: str, label: str, classes: list[str]) -> tuple[dict, DataFrame]:
-    def build() -> tuple[dict, DataFrame]:
+    return shared(spark, sf_dir, f"forest search {label}", lambda: models.tune_forest(_search_rows(spark, sf_dir), label, classes))
+
+
+def _coarse_forest_model(spark: SparkSession, sf_dir: str, label: str, classes: list[str]) -> Model:
+    """Tuned forest, fitted on at most ``FOREST_ROWS`` stratified training rows."""
+
+    def build() -> Model:
         t = coarse_table(spark, sf_dir)
-        train = t.data.where(F.col(SPLIT) == "train")
-        return models.tune_forest(train, ROW_ID, t.features, label, classes, TUNE_SUBSET_ROWS)
+        train = stratified_subset(t.data.where(F.col(SPLIT) == "train"), ROW_ID, label, FOREST_ROWS)
+        return models.fit_forest(models.balanced_rows(train, t.features, label, classes), _forest_search(spark, sf_dir, label, classes)[0])
 
-    return shared(spark, sf_dir, f"forest search {label}", build)
+    return shared(spark, sf_dir, f"forest {label}", build)
 
 
 def _coarse_forest(spark: SparkSession, sf_dir: str, label: str, classes: list[str]) -> DataFrame:
-    t = coarse_table(spark, sf_dir)
-    train = t.data.where(F.col(SPLIT) == "train")
-    model = models.fit_forest(models.balanced_rows(train, t.features, label, classes), _forest_search(spark, sf_dir, label, classes)[0])
-    return _split_metrics(model, t, label, classes)
+    return _split_metrics(_coarse_forest_model(spark, sf_dir, label, classes), coarse_table(spark, sf_dir), label, classes)
 
 
 @query("m07_binary_forest")
@@ -203,11 +315,43 @@ def family_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coarse_forest(spark, sf_dir, FAMILY_LABEL, FAMILIES)
 
 
+@query("m07_forest_invariants", over_flows("SELECT label, split, rows, true AS in_range, true AS beats_largest_class FROM labels, split_sizes", _SIZES, _LABELS))
+def forest_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _invariants(spark, sf_dir, lambda label, classes: _coarse_forest_model(spark, sf_dir, label, classes))
+
+
 @query("m08_forest_search")
 def forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forest_search(spark, sf_dir, FAMILY_LABEL, FAMILIES)[1]
 
 
+def _drawn_sql() -> str:
+    """The drawn settings as SQL values."""
+    rows = [(i, s["numTrees"], s["maxDepth"], s["minSplit"], s["minInstancesPerNode"]) for i, s in enumerate(models.draw_settings(models.FOREST_GRID))]
+    return ", ".join("(" + ", ".join("NULL" if v is None else str(v) for v in r) + ")" for r in rows)
+
+
+@query("m08_search_invariants", over_flows(f"""
+SELECT label, CAST(draw AS INTEGER) AS draw, CAST(trees AS INTEGER) AS trees, CAST(depth AS INTEGER) AS depth, CAST(min_split AS INTEGER) AS min_split,
+  CAST(min_leaf AS INTEGER) AS min_leaf, CAST(3 AS BIGINT) AS folds, least({TUNE_SUBSET_ROWS}, n - held) AS scored_rows,
+  true AS in_range, true AS beats_largest_class, true AS equals_twins
+FROM labels, sizes, (VALUES {_drawn_sql()}) t(draw, trees, depth, min_split, min_leaf)""", _SIZES, _LABELS))
+def search_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every drawn setting scored all folds; settings that differ in the least split alone score alike."""
+    out = None
+    for label, classes in ((BINARY_LABEL, BINARY_CLASSES), (FAMILY_LABEL, FAMILIES)):
+        found = _forest_search(spark, sf_dir, label, classes)[1]
+        share = _search_rows(spark, sf_dir).groupBy(ident(label)).agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") / F.sum("n")).alias("share"))
+        twins = Window.partitionBy("trees", F.coalesce("depth", F.lit(models.DEEPEST)), "min_leaf")
+        # naming the largest class, of share s, has the weighted F1 s * 2s / (1 + s)
+        part = found.join(share).select(
+            F.lit(label).alias("label"), "draw", "trees", "depth", "min_split", "min_leaf", "folds", "scored_rows", F.col("weighted_f1").between(0, 1).alias("in_range"),
+            (F.col("weighted_f1") > 2 * F.col("share") * F.col("share") / (1 + F.col("share"))).alias("beats_largest_class"),
+            (F.max("weighted_f1").over(twins) - F.min("weighted_f1").over(twins) < 1e-9).alias("equals_twins"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("m09_fine_model_scoring")
 def fine_model_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fine_table(spark, sf_dir)

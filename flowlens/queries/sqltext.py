@@ -68,7 +68,7 @@ _FEATURE_LIST = ",\n  ".join(f"{_FEATURE_SQL[f]} AS {quoted(f)}" for f in FEATUR
 
 FLOWS_CTE = f"""classes(idx, label, family) AS (VALUES {_CLASS_ROWS}),
 base AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS flow_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS flow_id,
     (l_orderkey * 31 + l_partkey * 17 + l_suppkey * 7 + l_linenumber) % 997 AS h,
     (l_orderkey + l_linenumber * 3) % 10 AS g, (l_partkey + l_linenumber) % 5 AS e, *
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),

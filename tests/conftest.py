@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-SF = "/root/testdata/sf0.001"
+from data import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -2,12 +2,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF
+from data import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = [
     "a01_class_distribution", "a05_cell_profile", "a07_balance_plan", "a17_class_report", "a19_overfitting", "a28_family_predictions",
-    "a34_health", "f05_encoded_labels", "j06_missing_classes", "p05_constant_columns", "p14_numbers_from_text", "s08_catalog",
+    "a34_health", "f05_encoded_labels", "m09_fine_scoring", "m10_coarse_scoring", "a33_weighted_loss", "j05_prediction_vs_truth", "j06_missing_classes", "p05_constant_columns", "p14_numbers_from_text", "s08_catalog",
 ]
 
 

@@ -5,10 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.functions.probabilities import argmax, confidence, linear_softmax, log_loss, top_classes
+from flowlens.functions.probabilities import argmax, confidence, log_loss, top_classes
 from flowlens.operators import models
 from flowlens.operators.sanitize import sanitize
-from flowlens.operators.scoring import Preprocessing, score_fine_linear
+from flowlens.operators.scoring import Preprocessing, apply_model, feature_vector, linear_model, score_fine_linear
 from flowlens.plans.prepare import fine_checks, prepare_coarse, prepare_fine
 from flowlens.plans.score import score_csv
 from flowlens.plans.train import evaluate, train_coarse_logistic, train_fine_logistic
@@ -18,16 +18,23 @@ from flowlens.schema import (
 from flowlens.sources import tables
 
 
-def test_linear_softmax_matches_numpy(spark):
+def test_linear_model_matches_numpy(spark, tmp_path):
     rng = np.random.default_rng(1)
     x, w, b = rng.normal(size=(200, 5)), rng.normal(size=(4, 5)), rng.normal(size=4)
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i long, a double, b double, c double, d double, e double")
-    p = linear_softmax([F.col(c) for c in "abcde"], w.tolist(), b.tolist())
-    got = np.array([r["p"] for r in df.select("i", p.alias("p")).orderBy("i").collect()])
+    model = linear_model(spark, w.tolist(), b.tolist())
+    vectors = df.select("i", feature_vector([F.col(c) for c in "abcde"]).alias("v"))
+    scored = apply_model(vectors, model, "v", "fine").orderBy("i").collect()
+    got = np.array([r["fine_proba"] for r in scored])
     z = x @ w.T + b
     want = np.exp(z - z.max(axis=1, keepdims=True))
     want /= want.sum(axis=1, keepdims=True)
     np.testing.assert_allclose(got, want, rtol=1e-12)
+    assert [int(r["fine_index"]) for r in scored] == want.argmax(axis=1).tolist()
+    assert "Python" not in apply_model(vectors, model, "v", "fine")._jdf.queryExecution().executedPlan().toString()
+    model.save(str(tmp_path / "linear"))
+    again = type(model).load(str(tmp_path / "linear"))
+    np.testing.assert_array_equal(again.coefficientMatrix.toArray(), w)
     assert df.where("i < 0").select(p.alias("p")).collect() == []
 
 
@@ -108,7 +115,7 @@ def test_rows_are_numbered_without_a_row_id(raw):
 
 @pytest.fixture(scope="module")
 def logistic(fine):
-    return train_fine_logistic(fine)
+    return train_fine_logistic(fine)[0]
 
 
 def test_fine_logistic_and_bundle(spark, fine, logistic, raw, tmp_path):
@@ -145,7 +152,8 @@ def test_probabilities_sum_to_one(fine, logistic):
 
 def test_retry_keeps_the_last_attempt(fine):
     train = models.balanced_rows(fine.data.where("split = 'train'"), fine.features, LABEL, CLASSES_FINE)
-    assert models.fit_fine_logistic(train, [1, 2]).summary.totalIterations == 2
+    model, attempts = models.fit_fine_logistic(train, [1, 2])
+    assert model.summary.totalIterations == 2 and [(a.limit, a.converged) for a in attempts] == [(1, False), (2, False)]
 
 
 def test_candidate_selection_stops_when_stale(spark, coarse):
@@ -177,11 +185,12 @@ def test_forest_and_search(spark, coarse):
     model = models.fit_forest(models.balanced_rows(train, coarse.features, FAMILY_LABEL, FAMILIES), {"numTrees": 8, "maxDepth": 6})
     importance = models.forest_importance(spark, model, coarse.features)
     assert importance.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
+    binned = models.search_rows(train, "flow_id", coarse.features, [FAMILY_LABEL, BINARY_LABEL], FAMILY_LABEL, 1000, folds=2)
     best, table = models.tune_forest(
-        train, "flow_id", coarse.features, FAMILY_LABEL, FAMILIES, 1000,
-        {"numTrees": [3], "maxDepth": [2, 5], "minSplit": [2], "minInstancesPerNode": [1]}, draws=2, folds=2)
+        binned, FAMILY_LABEL, FAMILIES, {"numTrees": [3], "maxDepth": [2, 5], "minSplit": [2], "minInstancesPerNode": [1]}, draws=2)
     rows = table.collect()
     assert len(rows) == 2 and best["maxDepth"] == max(rows, key=lambda r: r["weighted_f1"])["depth"]
+    assert {(r["folds"], r["scored_rows"]) for r in rows} == {(2, 1000)}
 
 
 def test_draws_are_distinct_and_repeatable():
