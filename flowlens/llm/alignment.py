@@ -22,6 +22,7 @@ are not read.
 from __future__ import annotations
 
 import itertools
+import json
 import re
 from collections.abc import Iterator
 
@@ -39,10 +40,11 @@ from .perfect import PerfectHash, chunked, number_of_shards, shard_column, shard
 
 FIRST = "byte_bpe_50k.json"
 SECOND = "piece_bpe_32k.model"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 _BLOCK_ROWS = 1 << 13
 _OUT_BYTES = 4 << 20
 _UNITS = 1 << 14
+_TOGETHER = 256
 #: Pairs whose hash, keys and counts a task holds at once: 70 MB. More pairs are looked up part by part.
 SLICE_PAIRS = 1 << 22
 _CHUNK = 1 << 16
@@ -70,32 +72,55 @@ def _byte_values() -> dict[str, int]:
 class Units:
     """Alignments of some units: numbers, texts of their groups, and their pairs with the times each is linked."""
 
-    def __init__(self) -> None:
-        self.parts: list[tuple] = []
+    def __init__(self, count: int, with_texts: bool):
+        self.ok = np.zeros(count, dtype=bool)
+        self.numbers = np.zeros((len(_NUMBERS), count), dtype=np.int64)
+        self.texts = [""] * count if with_texts else None
+        self._pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, *part) -> None:
-        self.parts.append(part)
+    def add(self, places: np.ndarray, ok: np.ndarray, numbers: np.ndarray, texts: list[str] | None, unit: np.ndarray, key: np.ndarray, times: np.ndarray) -> None:
+        self.ok[places], self.numbers[:, places] = ok, numbers
+        if texts is not None:
+            for place, text in zip(places.tolist(), texts):
+                self.texts[place] = text
+        self._pairs.append((places[unit], key, times))
 
     def finish(self) -> None:
-        ok, numbers, texts, unit, key, times = zip(*self.parts) if self.parts else ([], [], [], [], [], [])
-        join = lambda arrays, kind=np.int64: np.concatenate(arrays) if arrays else np.zeros(0, kind)
-        self.ok = join(ok, bool)
-        self.numbers = np.concatenate(numbers, axis=1) if numbers else np.zeros((len(_NUMBERS), 0), np.int64)
-        self.texts = list(itertools.chain.from_iterable(texts))
-        starts = np.cumsum([0, *map(len, ok)])
-        self.unit, self.times = join([u + s for u, s in zip(unit, starts)]), join(times)
+        unit, key, times = (np.concatenate(x) if self._pairs else np.zeros(0, np.int64) for x in (zip(*self._pairs) if self._pairs else ((), (), ())))
+        order = np.argsort(unit, kind="stable")
+        self.unit, self.times = unit[order], times[order]
         #: different keys of the block, and the place of each pair's key among them
-        self.keys, self.key = np.unique(join(key), return_inverse=True)
+        self.keys, place = np.unique(key, return_inverse=True)
+        self.key = place[order]
         self.edges = np.searchsorted(self.unit, np.arange(len(self.ok) + 1))
+        self._pairs = []
+
+
+def _ranks(tokenizer) -> dict[bytes, int] | None:
+    """Ranks of a byte-level vocabulary whose ids follow the order of its merges; another library encodes it several times faster."""
+    described = json.loads(tokenizer.to_str())
+    cutter = described["pre_tokenizer"] or {}
+    if described["model"].get("type") != "BPE" or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True) or described["normalizer"]:
+        return None
+    values, vocabulary = _byte_values(), described["model"]["vocab"]
+    added = {t["content"] for t in described["added_tokens"]}
+    merges = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in described["model"]["merges"]]
+    plain = {bytes(values[c] for c in t): i for t, i in vocabulary.items() if t not in added}
+    alone = sorted(i for t, i in plain.items() if len(t) == 1)
+    in_order = merges == sorted(merges) and len(alone) == 256 and alone[-1] < min(merges, default=256) and len(plain) == 256 + len(set(merges))
+    return plain if in_order else None
 
 
 class Aligner:
     def __init__(self, first: str, second: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(first)
         self.a.encode_special_tokens = True
+        ranks = _ranks(self.a)
+        self.fast = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
         values = _byte_values()
         by_id = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
@@ -110,36 +135,45 @@ class Aligner:
         self.a_size = np.array(list(map(len, self.a_bytes)), dtype=np.int64)
         self.b_size = np.array(list(map(len, self.b_bytes)), dtype=np.int64)
 
-    def align(self, units: list[str]) -> Units:
-        out = Units()
-        for at in range(0, len(units), _UNITS):
-            out.add(*self._align(units[at : at + _UNITS]))
+    def align(self, units: list[str], with_texts: bool = True) -> Units:
+        """Units that a space keeps apart are encoded in rows, the others one by one."""
+        out = Units(len(units), with_texts)
+        odd = np.array([len(u) < 2 or u[1].isspace() or u[-1].isspace() for u in units], dtype=bool)
+        for places, together in ((np.flatnonzero(~odd), True), (np.flatnonzero(odd), False)):
+            for at in range(0, len(places), _UNITS):
+                part = places[at : at + _UNITS]
+                out.add(part, *self._align([units[i] for i in part.tolist()], together, with_texts))
         out.finish()
         return out
 
-    def _encode_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids in a row, ids of each unit): units that a space keeps apart are encoded as one text."""
-        if all(len(u) > 1 and u[1] != " " and not u[1].isspace() and not u[-1].isspace() for u in units):
-            encoding = self.a.encode("".join(units), add_special_tokens=False)
-            first = np.array(encoding.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-            edges = np.searchsorted(first, np.cumsum([len(u) for u in units]))
-            return np.array(encoding.ids, dtype=np.int64), np.diff(edges, prepend=0)
-        found = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        return np.array(list(itertools.chain.from_iterable(found)), dtype=np.int64), np.array(list(map(len, found)), dtype=np.int64)
-
-    def _align(self, units: list[str]) -> tuple:
-        odd = [i for i, u in enumerate(units) if len(u) < 2 or u[1].isspace() or u[-1].isspace()]
-        if odd and len(odd) < len(units):  # the plain ones together, the others one by one
-            odd_set = set(odd)
-            order = [i for i in range(len(units)) if i not in odd_set]
-            return self._merged(len(units), [(np.array(order), self._align([units[i] for i in order])), (np.array(odd), self._align([units[i] for i in odd]))])
+    def _encode_a(self, texts: list[str]) -> list[list[int]]:
+        if self.fast:
+            return [self.fast.encode_ordinary(t) for t in texts]
+        return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+
+    def _ids(self, units: list[str], size: np.ndarray, together: bool) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(ids in a row, ids of each unit) of both tokenizers."""
+        if together:
+            row = "".join(units)
+            ends, out = np.cumsum(size), []
+            for ids, sizes in ((self._encode_a([row])[0], self.a_size), (self.b.encode(row[1:]), self.b_size)):
+                ids = np.array(ids, dtype=np.int64)
+                upto = np.cumsum(sizes[ids])
+                edges = np.searchsorted(upto, ends, side="right")
+                if not len(upto) or upto[-1] != ends[-1] or not np.array_equal(upto[edges - 1], ends):
+                    break  # some unit is spelled otherwise
+                out.append((ids, np.diff(edges, prepend=0)))
+            if len(out) == 2:
+                return out[0], out[1]
+        found = self._encode_a(units), self.b.encode([u[1:] for u in units], num_threads=1)
+        a, b = ((np.array(list(itertools.chain.from_iterable(x)), dtype=np.int64), np.array(list(map(len, x)), dtype=np.int64)) for x in found)
+        return a, b
+
+    def _align(self, units: list[str], together: bool, with_texts: bool) -> tuple:
         n = len(units)
         raw = [u.encode() for u in units]
         size = np.array(list(map(len, raw)), dtype=np.int64)
-        a, na = self._encode_a(units)
-        found = self.b.encode([u[1:] for u in units], num_threads=1)
-        nb = np.array(list(map(len, found)), dtype=np.int64)
-        b = np.array(list(itertools.chain.from_iterable(found)), dtype=np.int64)
+        (a, na), (b, nb) = self._ids(units, size, together)
         unit_a, unit_b = np.repeat(np.arange(n), na), np.repeat(np.arange(n), nb)
         ok = np.bincount(unit_a, weights=self.a_size[a], minlength=n) == size
         ok &= np.bincount(unit_b, weights=self.b_size[b], minlength=n) == size
@@ -152,18 +186,23 @@ class Aligner:
                 part = slice(at, at + int(size[i]))
                 ok[i] = spelled_a[part] == raw[i] == spelled_b[part]
                 at += int(size[i])
-        keep_a, keep_b = ok[unit_a], ok[unit_b]
-        a, b, unit_a, unit_b = a[keep_a], b[keep_b], unit_a[keep_a], unit_b[keep_b]
+        if not ok.all():
+            keep_a, keep_b = ok[unit_a], ok[unit_b]
+            a, b, unit_a, unit_b = a[keep_a], b[keep_b], unit_a[keep_a], unit_b[keep_b]
         end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        common = np.intersect1d(end_a, end_b)
-        group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
-        edge_a, edge_b = (np.searchsorted(g, np.arange(len(common) + 1)) for g in (group_a, group_b))
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        edge_a = np.concatenate([[0], np.searchsorted(end_a, common, side="right")])
+        edge_b = np.concatenate([[0], np.searchsorted(end_b, common, side="right")])
         unit = unit_a[edge_a[:-1]] if len(common) else np.zeros(0, np.int64)
         count_a, count_b = np.diff(edge_a), np.diff(edge_b)
         numbers = np.stack([
             np.where(ok, na, 0), np.where(ok, nb, 0), np.bincount(unit, minlength=n),
             np.bincount(unit, weights=count_a * count_b, minlength=n).astype(np.int64),
         ])
+        texts = self._texts(a, b, edge_a, edge_b, unit, n) if with_texts else None
+        return ok, numbers, texts, *self._links(a, b, edge_a, edge_b, unit)
+
+    def _texts(self, a: np.ndarray, b: np.ndarray, edge_a: np.ndarray, edge_b: np.ndarray, unit: np.ndarray, n: int) -> list[str]:
         words_a, words_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
         cuts_a, cuts_b = edge_a.tolist(), edge_b.tolist()
         groups = [
@@ -171,36 +210,30 @@ class Aligner:
             for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])
         ]
         cuts = np.searchsorted(unit, np.arange(n + 1)).tolist()
-        texts = [";".join(groups[i:j]) for i, j in zip(cuts, cuts[1:])]
-        # different tokens of each group, then each one's links with all of the other side
-        left, left_times = np.unique(np.stack([group_a, a]), axis=1, return_counts=True) if (count_a > 1).any() else (np.stack([group_a, a]), np.ones(len(a), np.int64))
-        right, right_times = np.unique(np.stack([group_b, b]), axis=1, return_counts=True) if (count_b > 1).any() else (np.stack([group_b, b]), np.ones(len(b), np.int64))
-        right_edge = np.searchsorted(right[0], np.arange(len(common) + 1))
-        fan = np.diff(right_edge)[left[0]]
-        from_left = np.repeat(np.arange(left.shape[1]), fan)
-        begin = np.cumsum(fan) - fan
-        to_right = np.arange(len(from_left)) - np.repeat(begin, fan) + np.repeat(right_edge[left[0]], fan)
-        key = left[1][from_left] << 32 | right[1][to_right]
-        times = left_times[from_left] * right_times[to_right]
-        return ok, numbers, texts, *_added(unit[left[0][from_left]] if len(key) else key, key, times)
-
-    def _merged(self, n: int, parts: list[tuple[np.ndarray, tuple]]) -> tuple:
-        ok, numbers, texts = np.zeros(n, bool), np.zeros((len(_NUMBERS), n), np.int64), [""] * n
-        rows = []
-        for order, (part_ok, part_numbers, part_texts, unit, key, times) in parts:
-            ok[order], numbers[:, order] = part_ok, part_numbers
-            for i, t in zip(order.tolist(), part_texts):
-                texts[i] = t
-            rows.append((order[unit], key, times))
-        return ok, numbers, texts, *_added(*[np.concatenate(x) for x in zip(*rows)])
-
-
-def _added(unit: np.ndarray, key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs by unit and key, the times of equal ones added up."""
-    order = np.lexsort((key, unit))
-    unit, key, times = unit[order], key[order], times[order]
-    first = np.flatnonzero((np.diff(unit, prepend=-1) != 0) | (np.diff(key, prepend=-1) != 0))
-    return unit[first], key[first], np.add.reduceat(times, first) if len(first) else times
+        return [groups[i] if j - i == 1 else ";".join(groups[i:j]) for i, j in zip(cuts, cuts[1:])]
+
+    def _links(self, a: np.ndarray, b: np.ndarray, edge_a: np.ndarray, edge_b: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, pair, times): different tokens of each group and side, each with all of the other side, added up per unit."""
+        groups = len(unit)
+        sides = []
+        for ids, edges, width in ((a, edge_a, len(self.a_size)), (b, edge_b, len(self.b_size))):
+            group = np.repeat(np.arange(groups), np.diff(edges))
+            if len(ids) > groups:  # some group has several tokens
+                found, times = np.unique(group * width + ids, return_counts=True)
+                group, ids = found // width, found % width
+            else:
+                times = np.ones(len(ids), np.int64)
+            sides.append((group, ids, times))
+        (group, left, left_times), (right_group, right, right_times) = sides
+        edge = np.searchsorted(right_group, np.arange(groups + 1))
+        fan = np.diff(edge)[group]
+        source = np.repeat(np.arange(len(group)), fan)
+        target = np.arange(len(source)) + np.repeat(edge[group] - np.cumsum(fan) + fan, fan)
+        key = left[source] * len(self.b_size) + right[target]
+        times = left_times[source] * right_times[target]
+        span = len(self.a_size) * len(self.b_size)
+        both, place = np.unique(unit[group[source]] * span + key, return_inverse=True)
+        return both // span, both % span, np.bincount(place, weights=times, minlength=len(both)).astype(np.int64)
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -213,7 +246,7 @@ def aligner(first: str, second: str) -> Aligner:
     return _aligners[first, second]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], tokenizers: Aligner) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], Units]]:
+def _blocks(batches: Iterator[pa.RecordBatch], tokenizers: Aligner, with_texts: bool) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], Units]]:
     """Blocks of rows, the units of each row's text (none where it has no tokens), and the alignments of all their units."""
     for batch in gathered(batches, _BLOCK_ROWS, BLOCK_BYTES):
         place: dict[str, int] = {}
@@ -221,19 +254,24 @@ def _blocks(batches: Iterator[pa.RecordBatch], tokenizers: Aligner) -> Iterator[
         for value in batch.column(batch.schema.get_field_index("__text")):
             units = units_of(text) if (text := value.as_py()) else []
             rows.append(np.fromiter([place.setdefault(u, len(place)) for u in units], dtype=np.int64, count=len(units)))
-        found = tokenizers.align(list(place))
-        yield batch, [r if found.ok[r].all() else r[:0] for r in rows], found
+        found = tokenizers.align(list(place), with_texts)
+        if not found.ok.all():
+            rows = [r if found.ok[r].all() else r[:0] for r in rows]
+        yield batch, rows, found
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Iterator[pa.RecordBatch]:
-    for _, rows, units in _blocks(batches, aligner(first, second)):
+    for _, rows, units in _blocks(batches, aligner(first, second), False):
+        number, pairs = max(1, len(units.ok)), max(1, len(units.keys))
         total = np.zeros(len(units.keys), dtype=np.int64)
-        for row in rows:
-            row = np.unique(row)
-            sizes = units.edges[row + 1] - units.edges[row]
-            ends = np.cumsum(sizes)
-            at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(units.edges[row] - ends + sizes, sizes)
-            total[np.unique(units.key[at])] += 1
+        for at in range(0, len(rows), _TOGETHER):  # documents whose pairs are made different together
+            part = rows[at : at + _TOGETHER]
+            held = np.unique(np.repeat(np.arange(len(part)), list(map(len, part))) * number + np.concatenate(part))
+            document, unit = held // number, held % number
+            sizes = units.edges[unit + 1] - units.edges[unit]
+            place = np.arange(int(sizes.sum())) + np.repeat(units.edges[unit] - np.cumsum(sizes) + sizes, sizes)
+            different = np.unique(np.repeat(document, sizes) * pairs + units.key[place])
+            total += np.bincount(different % pairs, minlength=len(total))[: len(total)]
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(units.keys[held], pa.int64()), pa.array(total[held])], ["key", "n"])
 
@@ -296,6 +334,7 @@ def aligned(
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups): one row per row."""
     spark = docs.sparkSession
     paths = public_tokenizers.path(first), public_tokenizers.path(second)
+    width = len(aligner(*paths).b_size)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("__text"))
     pair_schema = StructType([StructField("key", LongType()), StructField("n", LongType())])
     with bounded_batches(spark):
@@ -312,7 +351,7 @@ def aligned(
         perfect = spark.sparkContext.broadcast(table)
         total = tree_sum(counts, perfect, tasks)
         perfect.destroy()
-        left = (table.keys >> np.uint64(32)).astype(np.int64)
+        left = table.keys.astype(np.int64) // width
         if len(left):
             best = np.concatenate([best, np.zeros(max(0, int(left.max()) + 1 - len(best)), np.int64)])
             np.maximum.at(best, left, total)
@@ -321,7 +360,7 @@ def aligned(
     discard(counts, keys, built)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows, units in _blocks(batches, aligner(*paths)):
+        for batch, rows, units in _blocks(batches, aligner(*paths), True):
             # texts without tokens may hold units, and pairs, that no counted text has
             used = np.zeros(len(units.ok), dtype=bool)
             used[np.concatenate(rows)] = True
@@ -329,7 +368,7 @@ def aligned(
             found = np.zeros(len(units.keys), dtype=np.int64)
             found[held] = _counts_of(units.keys[held], slices)
             top = np.zeros(len(units.keys), dtype=bool)
-            top[held] = found[held] == highest.value[units.keys[held] >> 32]
+            top[held] = found[held] == highest.value[units.keys[held] // width]
             n = len(units.ok)
             sums = np.stack([
                 *units.numbers,
