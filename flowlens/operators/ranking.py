@@ -118,6 +118,16 @@ def assign_segment(
     ).drop("__key", "__stratum", "__ends", "__zero")
 
 
+def _offsets_joined(placed: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the offset of their file or block.
+
+    The offsets are three numbers a row, stored and counted: up to a million
+    (24 MB) every task gets them whole, beyond that the join is Spark's choice.
+    """
+    stored = materialize(offsets, "offsets")
+    return placed.join(F.broadcast(stored) if stored.count() <= MAX_BLOCKS else stored, keys)
+
+
 def index_stored_rows(stored: DataFrame, output: str = "index") -> DataFrame:
     """Zero-based contiguous index of a Parquet table, in part and row order.
 
@@ -125,13 +135,14 @@ def index_stored_rows(stored: DataFrame, output: str = "index") -> DataFrame:
     own file. Nothing is sorted or moved, and re-reading gives the same result.
     ``stored`` must be a direct, unfiltered scan.
     """
-    placed = stored.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-    files = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    path = F.col("_metadata.file_path")
+    placed = stored.select("*", F.xxhash64(path).alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    files = stored.select(path.alias("__path")).groupBy("__path").agg(F.count(F.lit(1)).alias("__n"))
     # One row per file; longer part names come later.
-    earlier = F.sum("__n").over(Window.orderBy(F.length("__file"), "__file")) - F.col("__n")
-    offsets = files.select("__file", earlier.alias("__before"))
+    earlier = F.sum("__n").over(Window.orderBy(F.length("__path"), "__path")) - F.col("__n")
+    offsets = files.select(F.xxhash64("__path").alias("__file"), earlier.alias("__before"))
     return (
-        placed.join(broadcast_if_small(offsets, MAX_BLOCKS), "__file")
+        _offsets_joined(placed, offsets, ["__file"])
         .withColumn(output, F.col("__before") + F.col("__at"))
         .drop("__file", "__at", "__before")
     )
@@ -148,31 +159,27 @@ def index_by_order(df: DataFrame, order_by: list[str], output: str = "index") ->
 
 
 def index_file_rows(df: DataFrame, output: str = "index") -> DataFrame:
-    """Zero-based contiguous index of a file scan in (file, position) order.
+    """Zero-based contiguous index of a file scan in (path, position) order.
 
     One light pass counts the rows of each file block; a second adds the sizes
     of all earlier blocks to the position inside the block. Nothing is sorted
-    or moved. ``df`` must be a direct, unfiltered file scan: both passes then
-    see the same blocks.
+    or moved, whatever tasks the blocks are packed into. ``df`` must be a
+    direct, unfiltered file scan: both passes then see the same blocks.
     """
-    placed = df.withColumn("__file", F.col("_metadata.file_path")).withColumn(
-        "__start", F.col("_metadata.file_block_start")
-    ).withColumn("__seen", F.monotonically_increasing_id())
-    blocks = placed.groupBy("__file", "__start").agg(
-        F.min("__seen").alias("__first"), F.count(F.lit(1)).alias("__n")
-    )
+    path, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    blocks = df.select(path.alias("__path"), start.alias("__start"), F.monotonically_increasing_id().alias("__seen"))
+    blocks = blocks.groupBy("__path", "__start").agg(F.min("__seen").alias("__first"), F.count(F.lit(1)).alias("__n"))
     # Two windows: inside each file, then over files, so that no single task
     # accumulates every block of the table.
-    in_file = F.sum("__n").over(Window.partitionBy("__file").orderBy("__start")) - F.col("__n")
-    files = blocks.groupBy("__file").agg(F.sum("__n").alias("__rows"))
-    files = files.select(
-        "__file", (F.sum("__rows").over(Window.orderBy("__file")) - F.col("__rows")).alias("__before")
-    )
-    offsets = blocks.withColumn("__in_file", in_file).join(files, "__file").select(
-        "__file", "__start", "__first", (F.col("__in_file") + F.col("__before")).alias("__offset")
+    in_file = F.sum("__n").over(Window.partitionBy("__path").orderBy("__start")) - F.col("__n")
+    files = blocks.groupBy("__path").agg(F.sum("__n").alias("__rows"))
+    files = files.select("__path", (F.sum("__rows").over(Window.orderBy("__path")) - F.col("__rows")).alias("__before"))
+    offsets = blocks.withColumn("__in_file", in_file).join(files, "__path").select(
+        F.xxhash64("__path").alias("__file"), "__start", (F.col("__in_file") + F.col("__before") - F.col("__first")).alias("__offset")
     )
+    placed = df.select("*", F.xxhash64(path).alias("__file"), start.alias("__start"), F.monotonically_increasing_id().alias("__seen"))
     return (
-        placed.join(broadcast_if_small(offsets, MAX_BLOCKS), ["__file", "__start"])
-        .withColumn(output, F.col("__offset") + F.col("__seen") - F.col("__first"))
-        .drop("__file", "__start", "__seen", "__first", "__offset")
+        _offsets_joined(placed, offsets, ["__file", "__start"])
+        .withColumn(output, F.col("__offset") + F.col("__seen"))
+        .drop("__file", "__start", "__seen", "__offset")
     )

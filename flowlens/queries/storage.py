@@ -11,6 +11,7 @@ from ..operators.scoring import score_fine_linear
 from ..plans.flows import ROW_ID, flows
 from ..schema import CLASSES_FINE, FEATURES_FINE, LABEL, SPLIT, ident
 from ..sources import tables
+from ..sources.tables import move_single_file
 from ..sources.csv_files import load_coarse_flows, load_fine_flows, read_scoring_csv
 from ..sources.records import read_records, record_features
 from ..workspace import new_path
@@ -49,6 +50,28 @@ def scoring_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_profile(sanitize(rows, FEATURES_FINE, FINE_LABELS).data, FEATURES_FINE)
 
 
+def _ordered_parts(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of three CSV parts of unequal size, each in the order of its flow ids."""
+
+    def build() -> str:
+        folder = new_path(spark, "parts") + ".csv"
+        df = flows(spark, sf_dir)
+        for name, condition in (("a.csv", "l_linenumber = 1"), ("b.csv", "l_linenumber > 2"), ("c.csv", "l_linenumber = 2 AND l_orderkey % 5 = 0")):
+            columns = [F.col(ROW_ID), *[F.col(ident(f)) for f in FEATURES_FINE]]
+            move_single_file(df.where(condition).select(*columns).orderBy(ROW_ID).coalesce(1), f"{folder}/{name}")
+        return folder
+
+    return shared(spark, sf_dir, "ordered parts", build)
+
+
+@query("o10_file_index", over_flows("""
+SELECT CAST(row_number() OVER (ORDER BY part, flow_id) - 1 AS BIGINT) AS "index", flow_id FROM (
+  SELECT flow_id, CASE WHEN l_linenumber = 1 THEN 'a' WHEN l_linenumber > 2 THEN 'b' ELSE 'c' END AS part FROM flows
+  WHERE l_linenumber <> 2 OR l_orderkey % 5 = 0)"""))
+def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_scoring_csv(spark, _ordered_parts(spark, sf_dir), "index").select("index", ROW_ID)
+
+
 @query("s04_json_records", over_flows(profile_sql(FEATURES_FINE, "clean"), clean_cte()))
 def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_records(spark, json_folder(spark, sf_dir))

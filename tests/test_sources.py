@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators.sanitize import COARSE_LABELS, FINE_LABELS, adjustment_summary, sanitize
 from flowlens.sources.csv_files import (
-    list_files, load_coarse_flows, load_fine_flows, read_files, read_scoring_csv, rows_per_file,
+    csv_fields, load_coarse_flows, load_fine_flows, read_files, read_scoring_csv, rows_per_file,
 )
 from flowlens.sources.records import read_records, record_features
 
@@ -31,7 +31,7 @@ def test_columns_are_matched_by_name(spark, tmp_path):
 def test_union_keeps_every_column_when_asked(spark, tmp_path):
     write(tmp_path, "Merged01.csv", "A,Label\n1,XSS\n")
     write(tmp_path, "Merged02.csv", "B,Label\n2,XSS\n")
-    df = read_files(spark, list_files(spark, str(tmp_path), "Merged*.csv")).data
+    df = read_files(spark, str(tmp_path), "Merged*.csv").data
     assert sorted((r["A"] or "", r["B"] or "") for r in df.collect()) == [("", "2"), ("1", "")]
 
 
@@ -150,6 +150,44 @@ def test_over_long_files_are_skipped_in_any_folder(spark, tmp_path, name):
     folder.mkdir()
     (folder / "Merged 01.csv").write_text("IAT,Label\n1,BENIGN\n")
     (folder / "Merged02.csv").write_text("IAT,Label\n1,BENIGN\n2,BENIGN,40\n")
-    files = read_files(spark, list_files(spark, str(folder), "Merged*.csv"))
+    files = read_files(spark, str(folder), "Merged*.csv")
     rows = files.data.collect()
-    assert len(rows) == 1 and rows[0]["source_file"] == "Merged 01.csv" and len(files.skipped) == 1
+    assert len(rows) == 1 and rows[0]["source_file"] == "Merged 01.csv"
+    assert [r["path"][-12:] for r in files.files.where("reason is not null").collect()] == ["Merged02.csv"]
+
+
+def test_fields_of_a_line(spark):
+    lines = ['a,b', ',a,', '"x,y",1', '"he said ""no""",2,', '"",b"c', 'a,"' + "q," * 20_000 + '"', '"open,1']
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, line string")
+    got = [r["f"] for r in df.select("i", csv_fields(F.col("line")).alias("f")).orderBy("i").collect()]
+    assert got[:5] == [["a", "b"], [None, "a", None], ["x,y", "1"], ['he said "no"', "2", None], [None, 'b"c']]
+    assert got[5] == ["a", "q," * 20_000]
+
+
+def test_jobs_do_not_grow_with_files(spark, tmp_path):
+    jobs = {}
+    for n in (2, 12):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        for i in range(n):
+            write(folder, f"Merged{i:02d}.csv", ("Rate,Label\n1,XSS\n" if i % 2 else "Label,Rate\nXSS,2\n"))
+        spark.sparkContext.setJobGroup(f"load {n}", "")
+        assert load_fine_flows(spark, str(folder)).count() == n
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"load {n}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[2] == jobs[12]
+
+
+def test_scored_folder_is_numbered_in_file_order(spark, tmp_path):
+    folder = tmp_path / "parts.csv"
+    folder.mkdir()
+    sizes, n = {"a.csv": 30, "b.csv": 4000, "c.csv": 1}, 0
+    for name, size in sizes.items():
+        write(folder, name, "Rate,IAT\n" + "".join(f"{n + i},0\n" for i in range(size)))
+        n += size
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 3000)
+    try:
+        df = read_scoring_csv(spark, str(folder), "index")
+        assert df.count() == n and df.where("cast(Rate as long) <> index").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
