@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import finite, is_infinite, is_missing, percent
 from ..schema import LABEL, REDUNDANT_FEATURES, ident
-from .medians import DIRECT_ROWS, column_medians, column_summary
+from .medians import column_medians, column_summary
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -83,7 +83,6 @@ def clean(
     df: DataFrame,
     columns: list[str] | None = None,
     drop_constants: bool = True,
-    direct_rows: int = DIRECT_ROWS,
     fit_on: DataFrame | None = None,
 ) -> Cleaned:
     """Null infinities, impute medians and optionally drop constant columns.
@@ -98,7 +97,7 @@ def clean(
         incomplete = [c for c in columns if summary[c]["values"] < summary[c]["rows"]]
     else:
         incomplete = list(columns)
-    medians = column_medians(source, incomplete, direct_rows, summary)
+    medians = column_medians(source, incomplete, summary)
     constants = constant_columns(summary) if drop_constants else []
     filled = impute(null_infinite(df, incomplete), medians)
     return Cleaned(filled.drop(*constants), medians, constants)

@@ -1,48 +1,33 @@
-"""Exact column medians that hold at any row count.
-
-Spark's exact ``median`` keeps every distinct value of a column in one
-aggregation buffer. That is the right tool for a few million rows and the
-wrong one for billions, so larger columns are first narrowed: each pass counts
-how many values lie below, at and between a bracket, and asks an approximate
-quantile sketch for a tighter bracket. Counts are exact, so the bracket is
-proven, not guessed. Once few enough values remain inside, they are counted
-one by one. Every pass is a global aggregate with map-side combine.
+"""Exact column medians by radix selection.
+
+A double becomes a 64-bit key whose unsigned order is the order of the values.
+Four passes read 16 bits each: a pass counts, for all columns at once, the
+values that begin with the bits found so far by their next 16 bits, and the
+counts up to a bucket tell which one holds the wanted rank. The same four
+passes serve any number of rows; a column with an even number of values has
+two ranks to find, which share their passes.
+
+Tasks count into dense arrays; there are at most as many of them as the cluster
+runs at once, so the counts that are shuffled grow with its cores, not with
+the rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
 from ..schema import ident
+from ..workspace import discard, materialize
 
-# Columns with at most this many values use the built-in exact median, in
-# groups of columns that together hold at most GROUP_VALUES values.
-DIRECT_ROWS = 1_000_000
-GROUP_VALUES = 5_000_000
-# Quantile points asked for per pass, and the sketch accuracy behind them.
-GRID_POINTS = 128
-SKETCH_ACCURACY = 10_000
-
-
-@dataclass
-class _Target:
-    """Search for the value at one zero-based rank of one column."""
-
-    column: str
-    rank: int
-    low: float
-    high: float
-    at_or_below_low: int
-    below_high: int
-    value: float | None = None
-
-    @property
-    def inside(self) -> int:
-        return self.below_high - self.at_or_below_low
+_BITS = 16
+_BUCKETS = 1 << _BITS
+_SIGN = np.uint64(1 << 63)
 
 
 def column_summary(df: DataFrame, columns: list[str]) -> dict[str, dict]:
@@ -60,129 +45,69 @@ def column_summary(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     }
 
 
-def column_medians(
-    df: DataFrame,
-    columns: list[str],
-    direct_rows: int = DIRECT_ROWS,
-    summary: dict[str, dict] | None = None,
-) -> dict[str, float | None]:
-    """Exact median of the finite values of each column; None if there are none."""
+def order_keys(values: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers in the order of the values; both zeros have one key."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits & _SIGN, ~bits, bits | _SIGN)
+
+
+def key_value(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else ~key & ((1 << 64) - 1)
+    return float(np.array([bits], dtype=np.uint64).view(np.float64)[0])
+
+
+def _histograms(stored: DataFrame, wanted: list[tuple[int, int]], level: int) -> DataFrame:
+    """(slot, bucket, n): the next 16 bits of the values that begin with the slot's bits; slots are (column, bits)."""
+    shift = np.uint64(64 - _BITS * (level + 1))
+    used = sorted({c for c, _ in wanted})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {i: np.zeros(_BUCKETS, dtype=np.int64) for i in range(len(wanted))}
+        for batch in batches:
+            for place, column in enumerate(used):
+                keys = order_keys(batch.column(place).drop_null().to_numpy(zero_copy_only=False))
+                for slot, (c, start) in enumerate(wanted):
+                    if c == column:
+                        inside = keys if level == 0 else keys[keys >> (shift + np.uint64(_BITS)) == np.uint64(start)]
+                        totals[slot] += np.bincount((inside >> shift & np.uint64(_BUCKETS - 1)).astype(np.int64), minlength=_BUCKETS)
+        for slot, total in totals.items():
+            held = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(held), slot, dtype=np.int32)), pa.array(held.astype(np.int32)), pa.array(total[held])], ["slot", "bucket", "n"])
+
+    tasks = stored.select(*[f"v{c}" for c in used]).coalesce(stored.sparkSession.sparkContext.defaultParallelism)
+    return tasks.mapInArrow(count, "slot int, bucket int, n long").groupBy("slot", "bucket").agg(F.sum("n").alias("n"))
+
+
+def column_medians(df: DataFrame, columns: list[str], summary: dict[str, dict] | None = None) -> dict[str, float | None]:
+    """Exact median of the finite values of each column; None if there are none.
+
+    The columns are stored once and read by every pass.
+    """
     if not columns:
         return {}
+    stored = materialize(df.select(*[finite(F.col(ident(c)).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]), "columns")
     summary = summary or column_summary(df, columns)
-    medians: dict[str, float | None] = {}
-    small, large = [], []
-    for name in columns:
-        s = summary[name]
-        if s["values"] == 0:
-            medians[name] = None
-        elif s["min"] == s["max"]:
-            medians[name] = float(s["min"])
-        else:
-            (small if s["values"] <= direct_rows else large).append(name)
-    for group in _groups(small, summary):
-        row = df.agg(*[F.median(finite(F.col(ident(c)))).alias(f"m{i}") for i, c in enumerate(group)]).first()
-        medians.update({c: row[f"m{i}"] for i, c in enumerate(group)})
-    if large:
-        medians.update(_narrowed_medians(df, {c: summary[c] for c in large}, direct_rows))
-    return medians
-
-
-def _groups(columns: list[str], summary: dict[str, dict]) -> list[list[str]]:
-    """Columns in groups that one aggregation buffer can hold."""
-    groups: list[list[str]] = []
-    held = 0
-    for c in columns:
-        if not groups or held + summary[c]["values"] > GROUP_VALUES:
-            groups.append([])
-            held = 0
-        groups[-1].append(c)
-        held += summary[c]["values"]
-    return groups
-
-
-def _narrowed_medians(df: DataFrame, summary: dict[str, dict], direct_rows: int) -> dict[str, float]:
-    targets = []
-    for name, s in summary.items():
-        n = s["values"]
-        for rank in sorted({(n - 1) // 2, n // 2}):
-            # An open bracket just outside [min, max] that holds every value.
-            span = max(abs(s["min"]), abs(s["max"]), 1.0)
-            targets.append(_Target(name, rank, s["min"] - span, s["max"] + span, 0, n))
-    while True:
-        wide = [t for t in targets if t.value is None and t.inside > direct_rows]
-        if not wide:
-            break
-        _narrow_once(df, wide)
-    _finish(df, [t for t in targets if t.value is None])
-    found: dict[str, list[float]] = {}
-    for t in targets:
-        found.setdefault(t.column, []).append(t.value)
-    return {name: sum(values) / len(values) for name, values in found.items()}
-
-
-def _narrow_once(df: DataFrame, targets: list[_Target]) -> None:
-    """Two aggregates: sketch points inside each bracket, then exact counts around them."""
-    points = [i / GRID_POINTS for i in range(GRID_POINTS + 1)]
-    sketches = []
-    for i, t in enumerate(targets):
-        value = finite(F.col(ident(t.column)))
-        inside = F.when((value > t.low) & (value < t.high), value)
-        sketches.append(F.percentile_approx(inside, points, SKETCH_ACCURACY).alias(f"q{i}"))
-    grids = df.agg(*sketches).first()
-
-    candidates, counts = [], []
-    for i, t in enumerate(targets):
-        grid = grids[f"q{i}"]
-        near = round((t.rank - t.at_or_below_low) / t.inside * GRID_POINTS)
-        # Two steps to each side cover the sketch error; counts prove the rest.
-        low, high = grid[max(near - 2, 0)], grid[min(near + 2, GRID_POINTS)]
-        candidates.append((low, high))
-        value = finite(F.col(ident(t.column)))
-        for tag, bound in (("l", low), ("h", high)):
-            counts.append(F.count_if(value < bound).alias(f"lt_{tag}{i}"))
-            counts.append(F.count_if(value <= bound).alias(f"le_{tag}{i}"))
-    row = df.agg(*counts).first()
-    for i, (t, (low, high)) in enumerate(zip(targets, candidates)):
-        _tighten(t, low, row[f"lt_l{i}"], row[f"le_l{i}"])
-        if t.value is None:
-            _tighten(t, high, row[f"lt_h{i}"], row[f"le_h{i}"])
-
-
-def _tighten(t: _Target, bound: float, below: int, at_or_below: int) -> None:
-    """Use the exact counts around ``bound`` to settle or shrink the bracket."""
-    if below <= t.rank < at_or_below:
-        t.value = bound
-    elif at_or_below <= t.rank:
-        if bound > t.low:
-            t.low, t.at_or_below_low = bound, at_or_below
-    elif bound < t.high:
-        t.high, t.below_high = bound, below
-
-
-def _finish(df: DataFrame, targets: list[_Target]) -> None:
-    """Count the few values left inside each bracket and pick the wanted rank."""
-    if not targets:
-        return
-    cells = F.array(*[
-        F.struct(
-            F.lit(i).alias("target"),
-            F.when((v > t.low) & (v < t.high), v).alias("value"),
-        )
-        for i, t in enumerate(targets)
-        for v in [finite(F.col(ident(t.column)))]
-    ])
-    wanted = F.element_at(F.array(*[F.lit(t.rank - t.at_or_below_low) for t in targets]), F.col("target") + 1)
-    counted = (
-        df.select(F.inline(cells))
-        .where(F.col("value").isNotNull())
-        .groupBy("target", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    running = F.sum("n").over(Window.partitionBy("target").orderBy("value"))
-    hits = (
-        counted.withColumn("upto", running)
-        .where((F.col("upto") > wanted) & (F.col("upto") - F.col("n") <= wanted))
-        .select("target", "value").collect()
-    )
-    for hit in hits:
-        targets[hit["target"]].value = hit["value"]
+    # (column, rank) -> bits found so far and the rank among the values that begin with them
+    found = {}
+    for i, name in enumerate(columns):
+        n = summary[name]["values"]
+        for rank in {(n - 1) // 2, n // 2} if n else ():
+            found[i, rank] = (0, rank)
+    for level in range(64 // _BITS) if found else ():
+        wanted = sorted({(column, bits) for (column, _), (bits, _) in found.items()})
+        slots = {w: i for i, w in enumerate(wanted)}
+        ranks = df.sparkSession.createDataFrame(
+            [(slots[column, bits], column, rank, inside) for (column, rank), (bits, inside) in found.items()], "slot int, column int, rank long, inside long")
+        upto = F.sum("n").over(Window.partitionBy("slot").orderBy("bucket"))
+        # two ranks a column: a few rows, whatever is counted
+        hits = _histograms(stored, wanted, level).withColumn("upto", upto).join(F.broadcast(ranks), "slot")
+        hits = hits.where((F.col("upto") > F.col("inside")) & (F.col("upto") - F.col("n") <= F.col("inside")))
+        for h in hits.select("column", "rank", "bucket", (F.col("inside") - F.col("upto") + F.col("n")).alias("inside")).collect():
+            bits, _ = found[h["column"], h["rank"]]
+            found[h["column"], h["rank"]] = (bits << _BITS | h["bucket"], h["inside"])
+    discard(stored)
+    values: dict[str, list[float]] = {c: [] for c in columns}
+    for (column, _), (bits, _) in sorted(found.items()):
+        values[columns[column]].append(key_value(bits))
+    return {c: sum(v) / len(v) if v else None for c, v in values.items()}

@@ -15,6 +15,7 @@ from ..operators.sanitize import (
 from ..operators.transforms import apply_log, apply_scaler, fit_log_shifts, fit_scaler, log_minimums, scaler_values
 from ..plans.flows import ROW_ID, flows
 from ..schema import CLASSES_FINE, FEATURES_COARSE, FEATURES_FINE, LABEL, LOG_FEATURES, ident
+from ..workspace import materialize
 from .common import (
     clean_cte, feature_profile, fine_preprocessing, finite_sql, labelled, log_sql, profile_sql, scaler_cte,
 )
@@ -64,12 +65,15 @@ _IMPUTED = ", ".join(f"coalesce({quoted(f)}, (SELECT median({quoted(f)}) FROM cl
     stacked(FEATURES_FINE, "filled", {"filled": "count({c})", "low": "round(min({c}), 6)", "high": "round(max({c}), 6)", "mean": "round(avg({c}), 3)"}),
     clean_cte(), f"filled AS (SELECT {_IMPUTED} FROM clean)"))
 def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = cleaning.clean(flows(spark, sf_dir), FEATURES_FINE, drop_constants=False).data
-    profile = feature_profile(data, FEATURES_FINE)
-    means = data.agg(*[F.avg(F.col(ident(f))).alias(f"m{i}") for i, f in enumerate(FEATURES_FINE)]).select(F.inline(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.round(f"m{i}", 3).alias("mean")) for i, f in enumerate(FEATURES_FINE)
+    stored = materialize(flows(spark, sf_dir).select(*[F.col(ident(f)) for f in FEATURES_FINE]), "input")
+    data = cleaning.clean(stored, FEATURES_FINE, drop_constants=False).data
+    facts = {"filled": F.count, "low": F.min, "high": F.max, "mean": F.avg}
+    wide = data.agg(*[fact(F.col(ident(f)).cast("double")).alias(f"{name}{i}") for i, f in enumerate(FEATURES_FINE) for name, fact in facts.items()])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"filled{i}").alias("filled"), F.round(f"low{i}", 6).alias("low"),
+                 F.round(f"high{i}", 6).alias("high"), F.round(f"mean{i}", 3).alias("mean"))
+        for i, f in enumerate(FEATURES_FINE)
     ])))
-    return profile.join(means, "feature").withColumn("low", F.round("low", 6)).withColumn("high", F.round("high", 6))
 
 
 @query("p05_constant_columns", over_flows(

@@ -1,12 +1,13 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions.labels import decode, derive_labels, encode
 from flowlens.operators import cleaning
-from flowlens.operators.medians import column_medians
+from flowlens.operators.medians import column_medians, key_value, order_keys
 from flowlens.operators.transforms import (
     apply_log, apply_scaler, fit_log_shifts, fit_scaler, log_minimums, scaler_values, zero_variance_features,
 )
@@ -14,7 +15,7 @@ from flowlens.operators.transforms import (
 INF = float("inf")
 
 
-def test_medians_by_narrowing_match_brute_force(spark):
+def test_medians_match_brute_force(spark):
     rng = random.Random(7)
     n = 3001
     columns = {
@@ -23,11 +24,14 @@ def test_medians_by_narrowing_match_brute_force(spark):
         "third": [7.0 if i % 3 == 0 else rng.lognormvariate(0, 4) for i in range(n)],
         "edge": [1.0] * (n // 2) + [rng.random() + 2 for _ in range(n - n // 2)],
         "odd": [rng.random() if i % 50 else INF for i in range(n)],
+        "signs": [rng.choice([-1.0, 1.0]) * rng.lognormvariate(-300, 200) for _ in range(n)],
+        "zeros": [0.0 if i % 2 else -0.0 for i in range(n)],
+        "minus": [-float(i) for i in range(n)],
     }
     df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(4)
     want = {c: statistics.median([v for v in vs if v is not None and v != INF]) for c, vs in columns.items()}
     assert column_medians(df, list(columns)) == pytest.approx(want)
-    assert column_medians(df, list(columns), direct_rows=10) == pytest.approx(want)
+    assert column_medians(df.coalesce(1), list(columns)) == column_medians(df.repartition(11), list(columns))
 
 
 def test_clean_imputes_and_drops_constants(spark):
@@ -44,7 +48,14 @@ def test_clean_imputes_and_drops_constants(spark):
 def test_even_median_is_the_mean_of_both_middles(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (8.0,)], "x double")
     assert column_medians(df, ["x"]) == {"x": 3.0}
-    assert column_medians(df, ["x"], direct_rows=1) == {"x": 3.0}
+    assert column_medians(df, []) == {} and column_medians(df.where("x > 9"), ["x"]) == {"x": None}
+
+
+def test_keys_are_in_the_order_of_values():
+    values = np.array([-1e308, -2.5, -5e-324, 0.0, 5e-324, 1.0, 2.0, 1.7e308])
+    keys = order_keys(values)
+    assert (keys[1:] > keys[:-1]).all() and [key_value(int(k)) for k in keys] == values.tolist()
+    assert order_keys(np.array([-0.0]))[0] == order_keys(np.array([0.0]))[0]
 
 
 def test_cell_profile_counts_nan_as_missing(spark):
