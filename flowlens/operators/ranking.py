@@ -4,26 +4,34 @@
 one task. When only a few ranks matter (a cap, the ends of a split, the ends
 of folds), it is enough to know the key found at each of them:
 
-1. count rows per (class, leading hex digits of the key) - map-side combined;
-2. accumulate the counts, which names the one bucket each rank falls into;
-3. rank only the rows of those buckets and read off their keys;
-4. every row compares its key with the few keys of its class.
-
-Step 4 moves no rows at all, and no step holds a class in one place.
+1. one pass counts rows per (class, leading hex digits of the key); the counts
+   give the class sizes, the sizes the wanted ranks, and accumulated counts the
+   one bucket each rank falls into;
+2. a second pass stores the rows of those buckets; a bucket that is still large
+   is split again by its next digits, until what is left can be ranked;
+3. every row compares its key with the few keys of its class.
+
+Step 3 moves no rows at all, no step holds a class in one place, and classes,
+ranks and keys are tables throughout: there may be millions of classes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SEED, ident
-from ..workspace import broadcast_if_small, materialize
+from ..workspace import broadcast_if_small, discard, materialize
 
-# Rows aimed at per key bucket, which bounds what one task ranks.
+# Hex digits of the key that one histogram reads: 4,096 buckets a class.
+DIGITS = 3
+# Rows of a bucket that one task ranks.
 BUCKET_ROWS = 250_000
 # File blocks whose offsets are broadcast: 128 TB of 128 MB blocks.
 MAX_BLOCKS = 1_000_000
+_KEY_DIGITS = 32
 
 
 def seeded_key(row_id: str, seed: int = SEED) -> Column:
@@ -31,91 +39,71 @@ def seeded_key(row_id: str, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident(row_id)).cast("string")))
 
 
-def _digits(largest: int, bucket_rows: int) -> int:
-    digits = 1
-    while digits < 8 and largest / 16 ** digits > bucket_rows:
-        digits += 1
-    return digits
+def key_histogram(df: DataFrame, stratum: str, row_id: str, seed: int = SEED) -> DataFrame:
+    """(stratum, bucket, n): rows by the leading digits of their key, stored; rows without a stratum are left out."""
+    bucket = F.substring(seeded_key(row_id, seed), 1, DIGITS)
+    counted = df.where(F.col(ident(stratum)).isNotNull()).groupBy(F.col(ident(stratum)).alias("stratum"), bucket.alias("bucket"))
+    return materialize(counted.agg(F.count(F.lit(1)).alias("n")), "histogram")
+
+
+def stratum_sizes(histogram: DataFrame) -> DataFrame:
+    """(stratum, n) of a key histogram."""
+    return histogram.groupBy("stratum").agg(F.sum("n").alias("n"))
+
+
+def _hits(histogram: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cut, bucket, n, rank): the bucket of each wanted rank, and the rank inside it."""
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket"))
+    found = histogram.withColumn("upto", upto).join(wanted, keys)
+    found = found.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+    return found.select("stratum", "cut", "bucket", "n", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
 
 
 def cut_keys(
-    df: DataFrame,
-    stratum: str,
-    row_id: str,
-    cuts: dict[str, list[int]],
-    largest: int,
-    seed: int = SEED,
-    bucket_rows: int = BUCKET_ROWS,
+    df: DataFrame, stratum: str, row_id: str, histogram: DataFrame, wanted: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """(stratum, cut, key, id): the row found at each wanted 1-based rank.
-
-    ``cuts`` lists the ranks of each stratum; ``largest`` is the size of its
-    biggest stratum.
-    """
-    spark = df.sparkSession
-    digits = _digits(largest, bucket_rows)
-    keyed = df.select(
-        F.col(ident(stratum)).alias("stratum"),
-        seeded_key(row_id, seed).alias("key"),
-        F.col(ident(row_id)).alias("id"),
-    )
-    bucket = F.substring("key", 1, digits)
-    wanted = spark.createDataFrame(
-        [(s, i, int(rank)) for s, ranks in cuts.items() for i, rank in enumerate(ranks) if rank > 0] or [],
-        "stratum string, cut int, rank long",
-    )
-    histogram = keyed.groupBy("stratum", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("stratum").orderBy("bucket"))
-    edges = (
-        histogram.withColumn("upto", upto)
-        .join(broadcast_if_small(wanted), "stratum")
-        .where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
-        .select("stratum", "bucket", "cut", (F.col("rank") - F.col("upto") + F.col("n")).alias("offset"))
-    )
-    edges = broadcast_if_small(edges)
-    edge_rows = keyed.withColumn("bucket", bucket).join(
-        edges.select("stratum", "bucket").distinct(), ["stratum", "bucket"], "left_semi"
-    )
-    ranked = edge_rows.withColumn(
-        "offset", F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy("key", "id"))
-    )
-    return ranked.join(edges, ["stratum", "bucket", "offset"]).select("stratum", "cut", "key", "id")
+    """(stratum, cut, key, id): the row found at each wanted 1-based rank, given as (stratum, cut, rank)."""
+    keyed = df.select(F.col(ident(stratum)).alias("stratum"), seeded_key(row_id, seed).alias("key"), F.col(ident(row_id)).alias("id"))
+    hits = _hits(histogram, wanted.where("rank > 0"), ["stratum"])
+    # the rows of the buckets that hold a rank, once per rank
+    edges = materialize(
+        keyed.withColumn("bucket", F.substring("key", 1, DIGITS)).join(broadcast_if_small(hits), ["stratum", "bucket"]).drop("bucket"), "edges")
+    for start in range(DIGITS, _KEY_DIGITS, DIGITS):
+        if (edges.agg(F.max("n")).first()[0] or 0) <= bucket_rows:
+            break
+        finer = edges.withColumn("bucket", F.substring("key", start + 1, DIGITS))
+        counted = finer.groupBy("stratum", "cut", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        within = _hits(counted, edges.select("stratum", "cut", "rank").distinct(), ["stratum", "cut"])
+        before = edges
+        edges = materialize(finer.drop("n", "rank").join(broadcast_if_small(within), ["stratum", "cut", "bucket"]).drop("bucket"), "edges")
+        discard(before)
+    place = F.row_number().over(Window.partitionBy("stratum", "cut").orderBy("key", "id"))
+    return edges.withColumn("place", place).where("place = rank").select("stratum", "cut", "key", "id")
 
 
 def assign_segment(
-    df: DataFrame,
-    stratum: str,
-    row_id: str,
-    cuts: dict[str, list[int]],
-    largest: int,
-    output: str = "segment",
-    seed: int = SEED,
-    bucket_rows: int = BUCKET_ROWS,
+    df: DataFrame, stratum: str, row_id: str, cuts: Callable[[DataFrame], DataFrame], output: str = "segment", seed: int = SEED, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Add the zero-based segment of each row in its stratum's seeded order.
+    """Add the zero-based segment of each row in its stratum's seeded order; rows without a stratum are dropped.
 
-    Cuts are the ranks at which segments end: ranks 1..cuts[0] are segment 0,
-    the next ones up to cuts[1] are segment 1, and so on. Rows of a stratum
-    that has no cuts are in segment 0.
+    ``cuts`` makes (stratum, cut, rank) from the sizes (stratum, n). Cuts are
+    the ranks at which segments end: ranks 1..first cut are segment 0, the next
+    ones up to the second cut are segment 1, and so on. A stratum without cuts
+    is segment 0 throughout.
     """
-    found = cut_keys(df, stratum, row_id, cuts, largest, seed, bucket_rows)
-    ends = found.groupBy("stratum").agg(
-        F.collect_list(F.struct("cut", F.struct("key", "id").alias("at"))).alias("__ends")
-    )
-    # Cuts at rank 0 have no row: every row of the stratum lies beyond them.
-    empty = {s: sum(1 for r in ranks if r <= 0) for s, ranks in cuts.items()}
-    zero = df.sparkSession.createDataFrame(
-        [(s, n) for s, n in empty.items()] or [], "stratum string, __zero int"
-    )
-    table = zero.join(ends, "stratum", "left").withColumnRenamed("stratum", "__stratum")
-    joined = df.withColumn("__key", seeded_key(row_id, seed)).join(
-        broadcast_if_small(table), F.col(ident(stratum)) == F.col("__stratum")
-    )
+    histogram = key_histogram(df, stratum, row_id, seed)
+    wanted = materialize(cuts(stratum_sizes(histogram)).select("stratum", "cut", F.col("rank").cast("long").alias("rank")), "cuts")
+    found = cut_keys(df, stratum, row_id, histogram, wanted, seed, bucket_rows)
+    ends = found.groupBy("stratum").agg(F.collect_list(F.struct("key", "id")).alias("__ends"))
+    # a cut at rank 0 has no row: every row of the stratum lies beyond it
+    zero = wanted.groupBy("stratum").agg(F.count_if(F.col("rank") <= 0).alias("__zero"))
+    table = broadcast_if_small(zero.join(ends, "stratum", "left").withColumnRenamed("stratum", "__stratum"))
+    labelled = df.where(F.col(ident(stratum)).isNotNull()).withColumn("__key", seeded_key(row_id, seed))
+    joined = labelled.join(table, F.col(ident(stratum)) == F.col("__stratum"), "left")
     me = F.struct(F.col("__key").alias("key"), F.col(ident(row_id)).alias("id"))
-    passed = F.size(F.filter(F.coalesce(F.col("__ends"), F.array()), lambda e: e["at"] < me))
-    return joined.withColumn(
-        output, (passed + F.coalesce(F.col("__zero"), F.lit(0))).cast("int")
-    ).drop("__key", "__stratum", "__ends", "__zero")
+    passed = F.coalesce(F.size(F.filter("__ends", lambda e: e < me)), F.lit(0))
+    passed = F.when(F.col("__ends").isNull(), 0).otherwise(passed)
+    return joined.withColumn(output, (passed + F.coalesce(F.col("__zero"), F.lit(0))).cast("int")).drop("__key", "__stratum", "__ends", "__zero")
 
 
 def _offsets_joined(placed: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,8 +112,7 @@ def _offsets_joined(placed: DataFrame, offsets: DataFrame, keys: list[str]) -> D
     The offsets are three numbers a row, stored and counted: up to a million
     (24 MB) every task gets them whole, beyond that the join is Spark's choice.
     """
-    stored = materialize(offsets, "offsets")
-    return placed.join(F.broadcast(stored) if stored.count() <= MAX_BLOCKS else stored, keys)
+    return placed.join(broadcast_if_small(offsets, MAX_BLOCKS), keys)
 
 
 def index_stored_rows(stored: DataFrame, output: str = "index") -> DataFrame:

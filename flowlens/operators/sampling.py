@@ -13,40 +13,34 @@ from ..schema import (
 )
 from .ranking import BUCKET_ROWS, assign_segment, seeded_key
 
-# Strata are classes. More distinct values than this is a wrong column.
-MAX_STRATA = 10_000
+_SHOWN = 20
 
 
-def stratum_counts(df: DataFrame, stratum: str) -> dict[str, int]:
-    """Rows of each stratum, in stratum order; refuses columns that are not classes."""
-    rows = (
-        df.where(F.col(ident(stratum)).isNotNull())
-        .groupBy(F.col(ident(stratum)).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-        .limit(MAX_STRATA + 1).collect()
-    )
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"{stratum} has more than {MAX_STRATA} distinct values")
-    return {r["s"]: r["n"] for r in sorted(rows, key=lambda r: r["s"])}
+def _total(sizes: DataFrame) -> int:
+    return int(sizes.agg(F.sum("n")).first()[0] or 0)
 
 
-def balance_plan(
-    df: DataFrame, label: str = LABEL,
-    target: int = TARGET_TOTAL, floor: int = MIN_SAMPLES, cap: int = MAX_CAP,
-) -> DataFrame:
-    """(class, available, cap, sampled): each class scaled toward the target size.
+def plan_of_sizes(sizes: DataFrame, target: int = TARGET_TOTAL, floor: int = MIN_SAMPLES, cap: int = MAX_CAP) -> DataFrame:
+    """(stratum, n, cap): each stratum scaled toward the target size.
 
     The proportional size is rounded half-even, kept within [floor, cap] and
     never exceeds what is available.
     """
-    counts = df.where(F.col(ident(label)).isNotNull()).groupBy(F.col(ident(label)).alias(label)).agg(
-        F.count(F.lit(1)).alias("available")
-    )
     # Runs over one row per class.
-    total = F.sum("available").over(Window.partitionBy())
-    scale = F.lit(float(target)) / total
-    wanted = F.bround(F.col("available") * scale, 0).cast("long")
+    total = F.sum("n").over(Window.partitionBy())
+    wanted = F.bround(F.col("n") * (F.lit(float(target)) / total), 0).cast("long")
     limited = F.greatest(F.lit(floor).cast("long"), F.least(F.lit(cap).cast("long"), wanted))
-    return counts.withColumn("cap", F.least(F.col("available"), limited)).withColumn("sampled", F.col("cap"))
+    return sizes.withColumn("cap", F.least(F.col("n"), limited))
+
+
+def balance_plan(
+    df: DataFrame, label: str = LABEL,
+    target: int = TARGET_TOTAL, floor: int = MIN_SAMPLES, cap: int = MAX_CAP,
+) -> DataFrame:
+    """(class, available, cap, sampled) of a table."""
+    sizes = df.where(F.col(ident(label)).isNotNull()).groupBy(F.col(ident(label)).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    plan = plan_of_sizes(sizes, target, floor, cap)
+    return plan.select(F.col("stratum").alias(label), F.col("n").alias("available"), "cap", F.col("cap").alias("sampled"))
 
 
 def balanced_sample(
@@ -55,16 +49,11 @@ def balanced_sample(
     seed: int = SEED, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Exact-size sample of each class without replacement; small classes stay whole."""
-    plan = balance_plan(df, label, target, floor, cap).limit(MAX_STRATA + 1).collect()
-    if len(plan) > MAX_STRATA:
-        raise ValueError(f"{label} has more than {MAX_STRATA} distinct values")
-    cuts = {r[label]: [r["cap"]] for r in plan if r["cap"] < r["available"]}
-    labelled = df.where(F.col(ident(label)).isNotNull())
-    if not cuts:
-        return labelled
-    largest = max(r["available"] for r in plan)
-    marked = assign_segment(labelled, label, row_id, cuts, largest, "__segment", seed, bucket_rows)
-    return marked.where("__segment = 0").drop("__segment")
+
+    def cuts(sizes: DataFrame) -> DataFrame:
+        return plan_of_sizes(sizes, target, floor, cap).where("cap < n").select("stratum", F.lit(0).alias("cut"), F.col("cap").alias("rank"))
+
+    return assign_segment(df, label, row_id, cuts, "__segment", seed, bucket_rows).where("__segment = 0").drop("__segment")
 
 
 def shuffled(df: DataFrame, row_id: str, seed: int = SEED) -> DataFrame:
@@ -86,6 +75,19 @@ def proportional_quota(counts: dict[str, int], draws: int) -> dict[str, int]:
     return floors
 
 
+def quota_table(sizes: DataFrame, total: int, draws: int, output: str = "quota") -> DataFrame:
+    """``sizes`` with largest-remainder shares of ``draws`` over the strata, ties in name order; exact integers at any size."""
+    product = F.col("n").cast("decimal(19,0)") * F.lit(draws).cast("decimal(19,0)")
+    whole = F.lit(total).cast("decimal(19,0)")
+    shares = sizes.withColumn("__product", product).withColumn("__total", whole)
+    shares = shares.withColumn("__floor", F.expr("__product div __total")).withColumn("__rest", F.expr("__product % __total"))
+    # one row per stratum
+    left = F.lit(draws) - F.sum("__floor").over(Window.partitionBy())
+    place = F.row_number().over(Window.orderBy(F.col("__rest").desc(), "stratum"))
+    quota = (F.col("__floor") + F.when(place <= left, 1).otherwise(0)).cast("long")
+    return shares.withColumn(output, quota).drop("__product", "__total", "__floor", "__rest")
+
+
 def _ceil_share(n: int, share: float) -> int:
     # Shares such as 0.2 are decimals; scale to integers so that big n stays exact.
     parts = round(share * 1_000_000)
@@ -113,16 +115,34 @@ def split_quotas(
     return {s: (train[s], val[s], rest[s] - val[s]) for s in counts}
 
 
+def split_quota_table(
+    sizes: DataFrame, held_out: float = HELD_OUT_SHARE, test_of_held_out: float = TEST_SHARE_OF_HELD_OUT,
+) -> DataFrame:
+    """(stratum, n, train, val): ``split_quotas`` of any number of strata; the rest of a stratum is its test part."""
+    rare = [r["stratum"] for r in sizes.where("n < 2").orderBy("stratum").limit(_SHOWN).collect()]
+    if rare:
+        raise ValueError(f"too few rows to split, among others: {rare}")
+    total = _total(sizes)
+    n_held = _ceil_share(total, held_out)
+    n_test = _ceil_share(n_held, test_of_held_out)
+    trained = quota_table(sizes, max(1, total), total - n_held, "train")
+    rest = trained.select("stratum", (F.col("n") - F.col("train")).alias("n"))
+    val = quota_table(rest, max(1, n_held), n_held - n_test, "val").select("stratum", "val")
+    return trained.join(val, "stratum")
+
+
 def stratified_split(
     df: DataFrame, row_id: str, stratum: str = LABEL,
     held_out: float = HELD_OUT_SHARE, test_of_held_out: float = TEST_SHARE_OF_HELD_OUT,
     seed: int = SEED, output: str = SPLIT, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add a train / val / test column with exact, stratified sizes; rows without a stratum are dropped."""
-    counts = stratum_counts(df, stratum)
-    quotas = split_quotas(counts, held_out, test_of_held_out)
-    cuts = {s: [q[0], q[0] + q[1]] for s, q in quotas.items()}
-    marked = assign_segment(df, stratum, row_id, cuts, max(counts.values()), "__segment", seed, bucket_rows)
+
+    def cuts(sizes: DataFrame) -> DataFrame:
+        quotas = split_quota_table(sizes, held_out, test_of_held_out)
+        return quotas.select("stratum", F.posexplode(F.array("train", F.col("train") + F.col("val"))).alias("cut", "rank"))
+
+    marked = assign_segment(df, stratum, row_id, cuts, "__segment", seed, bucket_rows)
     name = F.element_at(F.array(*[F.lit(s) for s in SPLITS]), F.col("__segment") + 1)
     return marked.withColumn(output, name).drop("__segment")
 
@@ -132,13 +152,14 @@ def stratified_subset(
     seed: int = SEED, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Stratified subset of a fixed total size; the whole table if it is not larger. Rows without a stratum are dropped."""
-    counts = stratum_counts(df, stratum)
-    if rows >= sum(counts.values()):
-        return df.where(F.col(ident(stratum)).isNotNull())
-    quota = proportional_quota(counts, rows)
-    cuts = {s: [q] for s, q in quota.items()}
-    marked = assign_segment(df, stratum, row_id, cuts, max(counts.values()), "__segment", seed, bucket_rows)
-    return marked.where("__segment = 0").drop("__segment")
+
+    def cuts(sizes: DataFrame) -> DataFrame:
+        total = _total(sizes)
+        if rows >= total:
+            return sizes.select("stratum", F.lit(0).alias("cut"), F.col("n").alias("rank"))
+        return quota_table(sizes, total, rows).select("stratum", F.lit(0).alias("cut"), F.col("quota").alias("rank"))
+
+    return assign_segment(df, stratum, row_id, cuts, "__segment", seed, bucket_rows).where("__segment = 0").drop("__segment")
 
 
 def fold_sizes(counts: dict[str, int], folds: int) -> dict[str, list[int]]:
@@ -154,17 +175,24 @@ def fold_sizes(counts: dict[str, int], folds: int) -> dict[str, list[int]]:
     return sizes
 
 
+def fold_table(sizes: DataFrame, folds: int) -> DataFrame:
+    """(stratum, cut, rank): where the folds of each stratum end, as ``fold_sizes`` deals them."""
+    start = F.sum("n").over(Window.orderBy("stratum")) - F.col("n")
+    placed = sizes.withColumn("__start", start)
+    upto, ends = F.lit(0).cast("long"), []
+    for f in range(folds - 1):
+        first = F.pmod(F.lit(f) - F.col("__start"), F.lit(folds))
+        upto = upto + F.floor((F.greatest(F.col("n") - first, F.lit(0)) + folds - 1) / folds)
+        ends.append(upto)
+    return placed.select("stratum", F.posexplode(F.array(*ends)).alias("cut", "rank"))
+
+
 def stratified_folds(
     df: DataFrame, row_id: str, stratum: str, folds: int = TUNE_FOLDS,
     seed: int = SEED, output: str = "fold", bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add a zero-based fold number, shuffled inside each stratum; rows without a stratum are dropped."""
-    counts = stratum_counts(df, stratum)
-    cuts = {}
-    for s, sizes in fold_sizes(counts, folds).items():
-        ends = [sum(sizes[: i + 1]) for i in range(folds - 1)]
-        cuts[s] = ends
-    return assign_segment(df, stratum, row_id, cuts, max(counts.values()), output, seed, bucket_rows)
+    return assign_segment(df, stratum, row_id, lambda sizes: fold_table(sizes, folds), output, seed, bucket_rows)
 
 
 def seeded_sample(df: DataFrame, row_id: str, rows: int, seed: int = SEED) -> DataFrame:

@@ -15,7 +15,7 @@ from ..schema import (
 )
 from ..sources.csv_files import load_fine_flows, rows_per_file
 from .common import (
-    CAP, FLOOR, SCORED_COARSE_CTE, TARGET, clean_cte, csv_folder, fine_preprocessing, labelled,
+    CAP_SHARE, FLOOR_SHARE, SCORED_COARSE_CTE, TARGET_SHARE, balance_limits, clean_cte, csv_folder, fine_preprocessing, labelled,
     scaler_cte, scored_coarse,
 )
 from .registry import query
@@ -68,13 +68,15 @@ def infinite_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLAN_CTE = f"""counts AS (SELECT "Label", count(*) AS available FROM flows GROUP BY "Label"),
-plan AS (SELECT "Label", available, least(available, greatest({FLOOR}, least({CAP},
-  CAST(round_even(available * (CAST({TARGET} AS DOUBLE) / CAST((SELECT sum(available) FROM counts) AS DOUBLE)), 0) AS BIGINT)))) AS cap FROM counts)"""
+limits AS (SELECT CAST(sum(available) AS BIGINT) AS total FROM counts),
+plan AS (SELECT "Label", available, least(available, greatest(total // {FLOOR_SHARE}, least(total // {CAP_SHARE},
+  CAST(round_even(available * (CAST(total // {TARGET_SHARE} AS DOUBLE) / CAST(total AS DOUBLE)), 0) AS BIGINT)))) AS cap FROM counts, limits)"""
 
 
 @query("a07_balance_plan", over_flows('SELECT "Label", available, cap, cap AS sampled FROM plan', PLAN_CTE))
 def class_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balance_plan(flows(spark, sf_dir), LABEL, TARGET, FLOOR, CAP)
+    df = flows(spark, sf_dir)
+    return balance_plan(df, LABEL, *balance_limits(df))
 
 
 @query("a08_scaler", over_flows(

@@ -15,8 +15,16 @@ from ..workspace import new_path
 from .registry import shared
 from .sqltext import quoted, stacked, text
 
-# Sampling limits scaled to the test tables.
-TARGET, FLOOR, CAP = 20_000, 500, 2_000
+#: Sampling limits as shares of the counted rows (one of so many), so that classes are cut, raised and kept at any size.
+TARGET_SHARE, FLOOR_SHARE, CAP_SHARE = 3, 120, 30
+#: Rows of the tuning subset: one of so many.
+SUBSET_SHARE = 15
+
+
+def balance_limits(df: DataFrame) -> tuple[int, int, int]:
+    """Target, floor and cap for the counted rows of a table."""
+    rows = df.count()
+    return rows // TARGET_SHARE, rows // FLOOR_SHARE, rows // CAP_SHARE
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,14 +10,10 @@ from ..operators.ranking import index_by_order
 from ..plans.flows import ROW_ID, flows
 from ..schema import FAMILY_LABEL, LABEL, TUNE_FOLDS
 from .aggregates import PLAN_CTE
-from .common import CAP, FLOOR, TARGET, labelled
+from .common import SUBSET_SHARE, balance_limits, labelled
 from .registry import query
 from .sqltext import over_flows
 
-# A subset size below the smallest test table.
-SUBSET_ROWS = 4_000
-
-
 def _ranked(stratum: str, name: str = "ranked", source: str = "flows") -> str:
     return (
         f'{name} AS (SELECT *, {stratum} AS stratum, row_number() OVER (PARTITION BY {stratum} ORDER BY md5(\'42:\' || flow_id), flow_id) AS rn,'
@@ -51,15 +47,16 @@ def split_ctes(stratum: str) -> list[str]:
     'SELECT r.flow_id, r."Label" FROM ranked r JOIN plan USING ("Label") WHERE rn <= cap', _ranked('"Label"'), PLAN_CTE))
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = flows(spark, sf_dir).select(ROW_ID, LABEL)
-    return sampling.balanced_sample(df, ROW_ID, LABEL, TARGET, FLOOR, CAP)
+    return sampling.balanced_sample(df, ROW_ID, LABEL, *balance_limits(df))
 
 
 @query("j02_cap_lookup", over_flows("""
 SELECT r."Label", plan.cap, count(*) AS rows FROM ranked r JOIN plan USING ("Label") WHERE rn <= cap GROUP BY ALL""", _ranked('"Label"'), PLAN_CTE))
 def cap_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = flows(spark, sf_dir).select(ROW_ID, LABEL)
-    plan = sampling.balance_plan(df, LABEL, TARGET, FLOOR, CAP).select(LABEL, "cap")
-    sampled = sampling.balanced_sample(df, ROW_ID, LABEL, TARGET, FLOOR, CAP).groupBy(LABEL).agg(F.count(F.lit(1)).alias("rows"))
+    limits = balance_limits(df)
+    plan = sampling.balance_plan(df, LABEL, *limits).select(LABEL, "cap")
+    sampled = sampling.balanced_sample(df, ROW_ID, LABEL, *limits).groupBy(LABEL).agg(F.count(F.lit(1)).alias("rows"))
     return sampled.join(plan, LABEL)
 
 
@@ -86,10 +83,10 @@ def family_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("o05_tuning_subset", over_flows(
     'SELECT r.flow_id, r.stratum AS "Label_8" FROM ranked r JOIN sub_q q USING (stratum) WHERE rn <= q.q', _ranked("family"),
     "sizes AS (SELECT stratum, count(*) AS n FROM ranked GROUP BY stratum)",
-    _quota("(SELECT CAST(sum(n) AS BIGINT) FROM sizes)", str(SUBSET_ROWS), "sizes", "sub_q")))
+    _quota("(SELECT CAST(sum(n) AS BIGINT) FROM sizes)", f"(SELECT CAST(sum(n) // {SUBSET_SHARE} AS BIGINT) FROM sizes)", "sizes", "sub_q")))
 def tuning_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = labelled(spark, sf_dir).select(ROW_ID, FAMILY_LABEL)
-    return sampling.stratified_subset(df, ROW_ID, FAMILY_LABEL, SUBSET_ROWS)
+    return sampling.stratified_subset(df, ROW_ID, FAMILY_LABEL, df.count() // SUBSET_SHARE)
 
 
 _FOLD_SIZES = """sizes AS (SELECT stratum, count(*) AS n FROM ranked GROUP BY stratum),

@@ -25,13 +25,13 @@ from ..sources.records import REASON
 from ..streaming.scoring import record_stream, start_rejects, start_scoring
 from ..workspace import new_path
 from .common import (
-    CAP, FLOOR, TARGET, clean_cte, coarse_logged_cte, coarse_preprocessing, fine_preprocessing, fixed_weights,
+    clean_cte, coarse_logged_cte, coarse_preprocessing, fine_preprocessing, fixed_weights,
     json_folder, probability_ctes,
 )
 from .registry import query, shared
 from .sqltext import over_flows, text
 
-#: A tuned coarse forest is fitted on at most this many stratified rows, as many as its search reads.
+#: Registered forests are fitted on at most this many stratified rows, as many as a search reads.
 FOREST_ROWS = TUNE_SUBSET_ROWS
 
 # --- scoring with fixed weights -------------------------------------------------
@@ -122,7 +122,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fine_table(spark: SparkSession, sf_dir: str) -> Prepared:
-    return shared(spark, sf_dir, "fine table", lambda: prepare_fine(_raw(spark, sf_dir), ROW_ID, None, TARGET, FLOOR, CAP))
+    return shared(spark, sf_dir, "fine table", lambda: prepare_fine(_raw(spark, sf_dir), ROW_ID))
 
 
 def coarse_table(spark: SparkSession, sf_dir: str) -> Prepared:
@@ -145,7 +145,7 @@ def _coarse_logistic(spark: SparkSession, sf_dir: str, label: str) -> tuple[Mode
 def _fine_forest(spark: SparkSession, sf_dir: str) -> Model:
     def build() -> Model:
         t = fine_table(spark, sf_dir)
-        train = t.data.where(F.col(SPLIT) == "train")
+        train = stratified_subset(t.data.where(F.col(SPLIT) == "train"), ROW_ID, LABEL, FOREST_ROWS)
         return models.fit_forest(models.balanced_rows(train, t.features, LABEL, CLASSES_FINE), models.FINE_FOREST)
 
     return shared(spark, sf_dir, "fine forest", build)

@@ -102,10 +102,9 @@ def release(spark: SparkSession, since: int) -> None:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` when it is proven small, else leave the choice to Spark.
 
-    At most ``max_rows + 1`` rows reach the driver. A larger table is returned
-    as it was, so the join shuffles and adaptive execution splits hot keys.
+    The table is stored and counted; its rows do not pass through the driver's
+    Python. A larger one is joined by shuffle, where adaptive execution splits
+    hot keys.
     """
-    head = df.limit(max_rows + 1).collect()
-    if len(head) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
+    stored = materialize(df, "lookup")
+    return F.broadcast(stored) if stored.count() <= max_rows else stored

@@ -32,9 +32,10 @@ def expected_segments(df, cuts):
 
 
 @pytest.mark.parametrize("bucket_rows", [3, 100, 1_000_000])
-def test_segments_match_a_full_sort(skewed, bucket_rows):
+def test_segments_match_a_full_sort(spark, skewed, bucket_rows):
     cuts = {"big": [0, 1, 1000, 2099], "mid": [300, 300, 600], "small": []}
-    got = assign_segment(skewed, "Label", "id", cuts, 2100, bucket_rows=bucket_rows)
+    table = spark.createDataFrame([(s, i, r) for s, ranks in cuts.items() for i, r in enumerate(ranks)], "stratum string, cut int, rank long")
+    got = assign_segment(skewed, "Label", "id", lambda sizes: table, bucket_rows=bucket_rows)
     assert {r["id"]: r["segment"] for r in got.collect()} == expected_segments(skewed, cuts)
 
 
@@ -118,3 +119,30 @@ def test_rows_without_a_stratum_are_dropped(spark):
     assert sampling.stratified_subset(df, "flow_id", "Label", 1000).count() == 400
     folds = Counter(r["fold"] for r in sampling.stratified_folds(df, "flow_id", "Label", 4).collect())
     assert folds == {0: 100, 1: 100, 2: 100, 3: 100}
+
+
+def test_classes_below_their_cap_stay_whole_beside_cut_ones(skewed):
+    sample = sampling.balanced_sample(skewed, "id", target=1500, floor=500, cap=700)
+    assert Counter(r["Label"] for r in sample.collect()) == {"big": 700, "mid": 500, "small": 300}
+
+
+@pytest.mark.parametrize("counts", [{"a": 7, "b": 2, "c": 11}, {"x": 2}, {f"s{i:03d}": 2 + i * i % 37 for i in range(200)}, {"a": 10**12 + 7, "b": 3 * 10**12 + 1, "c": 5}])
+def test_quota_tables_equal_plain_arithmetic(spark, counts):
+    sizes = spark.createDataFrame(list(counts.items()), "stratum string, n long")
+    got = {r["stratum"]: (r["train"], r["val"], r["n"] - r["train"] - r["val"]) for r in sampling.split_quota_table(sizes).collect()}
+    assert got == sampling.split_quotas(counts)
+    total = sum(counts.values())
+    quotas = {r["stratum"]: r["quota"] for r in sampling.quota_table(sizes, total, total // 3).collect()}
+    assert quotas == sampling.proportional_quota(counts, total // 3)
+    if total < 10**6:
+        ends = {}
+        for r in sampling.fold_table(sizes, 3).orderBy("stratum", "cut").collect():
+            ends.setdefault(r["stratum"], []).append(r["rank"])
+        want = sampling.fold_sizes(dict(sorted(counts.items())), 3)
+        assert ends == {s: [sum(f[:1]), sum(f[:2])] for s, f in want.items()}
+
+
+def test_very_many_strata(spark):
+    df = spark.range(60_000).selectExpr("id", "string(id % 20000) as Label")
+    split = sampling.stratified_split(df, "id", "Label").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in split} == {"train": 48_000, "val": 6_000, "test": 6_000}
