@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import itertools
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +36,11 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from ..workspace import discard, materialize
 from .batches import bounded_batches, gathered
 from .perfect import PerfectHash, chunked, number_of_shards, shard_column, shards
+from .units import cut, gathered_ids
 
 FIRST = "byte_bpe_50k.json"
 SECOND = "piece_bpe_32k.model"
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 _BLOCK_ROWS = 1 << 13
 _OUT_BYTES = 4 << 20
 _UNITS = 1 << 14
@@ -50,18 +50,9 @@ SLICE_PAIRS = 1 << 22
 _CHUNK = 1 << 16
 _FAN = 16
 
-_BESIDE = re.compile(r"\s | \s")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def units_of(text: str) -> list[str]:
-    """A space and the text, cut before each space that stands between two characters that are no white space."""
-    text = " " + text
-    plain = not text[-1].isspace() and not _BESIDE.search(text)
-    return [" " + w for w in text[1:].split(" ")] if plain else _CUT.split(text)
-
-
 def _byte_values() -> dict[str, int]:
     """Byte of each character of a byte-level vocabulary: printable ones stand for themselves, the others follow from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -96,9 +87,8 @@ class Units:
         self._pairs = []
 
 
-def _ranks(tokenizer) -> dict[bytes, int] | None:
+def _ranks(described: dict) -> dict[bytes, int] | None:
     """Ranks of a byte-level vocabulary whose ids follow the order of its merges; another library encodes it several times faster."""
-    described = json.loads(tokenizer.to_str())
     cutter = described["pre_tokenizer"] or {}
     if described["model"].get("type") != "BPE" or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True) or described["normalizer"]:
         return None
@@ -114,16 +104,24 @@ def _ranks(tokenizer) -> dict[bytes, int] | None:
 class Aligner:
     def __init__(self, first: str, second: str):
         import sentencepiece
-        import tiktoken
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(first)
-        self.a.encode_special_tokens = True
-        ranks = _ranks(self.a)
-        self.fast = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        with open(first, encoding="utf-8") as file:
+            described = json.load(file)
+        ranks = _ranks(described)
+        if ranks:
+            import tiktoken
+
+            fast = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self._encode_a = lambda texts: [fast.encode_ordinary(t) for t in texts]
+        else:
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(first)
+            library.encode_special_tokens = True
+            self._encode_a = lambda texts: [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
         values = _byte_values()
-        by_id = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        by_id = {i: t for t, i in described["model"]["vocab"].items()} | {t["id"]: t["content"] for t in described["added_tokens"]}
         # an added token's entry is plain text; it is never an id of a text here
         self.a_bytes = [bytes(values.get(c, 0) for c in by_id.get(i, "")) for i in range(max(by_id) + 1)]
         self.b_bytes = []
@@ -146,11 +144,6 @@ class Aligner:
         out.finish()
         return out
 
-    def _encode_a(self, texts: list[str]) -> list[list[int]]:
-        if self.fast:
-            return [self.fast.encode_ordinary(t) for t in texts]
-        return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-
     def _ids(self, units: list[str], size: np.ndarray, together: bool) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """(ids in a row, ids of each unit) of both tokenizers."""
         if together:
@@ -249,12 +242,8 @@ def aligner(first: str, second: str) -> Aligner:
 def _blocks(batches: Iterator[pa.RecordBatch], tokenizers: Aligner, with_texts: bool) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], Units]]:
     """Blocks of rows, the units of each row's text (none where it has no tokens), and the alignments of all their units."""
     for batch in gathered(batches, _BLOCK_ROWS, BLOCK_BYTES):
-        place: dict[str, int] = {}
-        rows = []
-        for value in batch.column(batch.schema.get_field_index("__text")):
-            units = units_of(text) if (text := value.as_py()) else []
-            rows.append(np.fromiter([place.setdefault(u, len(place)) for u in units], dtype=np.int64, count=len(units)))
-        found = tokenizers.align(list(place), with_texts)
+        rows, units = cut(batch.column(batch.schema.get_field_index("__text")), led=True)
+        found = tokenizers.align(units, with_texts)
         if not found.ok.all():
             rows = [r if found.ok[r].all() else r[:0] for r in rows]
         yield batch, rows, found
@@ -269,8 +258,7 @@ def _pair_counts(batches: Iterator[pa.RecordBatch], first: str, second: str) ->
             held = np.unique(np.repeat(np.arange(len(part)), list(map(len, part))) * number + np.concatenate(part))
             document, unit = held // number, held % number
             sizes = units.edges[unit + 1] - units.edges[unit]
-            place = np.arange(int(sizes.sum())) + np.repeat(units.edges[unit] - np.cumsum(sizes) + sizes, sizes)
-            different = np.unique(np.repeat(document, sizes) * pairs + units.key[place])
+            different = np.unique(np.repeat(document, sizes) * pairs + gathered_ids(units.key, units.edges, unit))
             total += np.bincount(different % pairs, minlength=len(total))[: len(total)]
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(units.keys[held], pa.int64()), pa.array(total[held])], ["key", "n"])
