@@ -21,7 +21,7 @@ import base64
 import heapq
 import itertools
 import unicodedata
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +34,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from ..workspace import discard, materialize
 from .batches import bounded_batches, gathered
+from .units import cut, gathered_ids
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The lexicon holds at most this many words of at most so many bytes: 32 MB as a proven bound.
@@ -157,6 +158,7 @@ class Replay:
             now = heapq.heappop(order)
             places = np.concatenate(index.pop(now))
             places = np.sort(places[rank[places] == now])
+            places = places[np.diff(places, prepend=-1) > 0]  # a place may have been noted twice
             if not len(places):
                 continue
             # of a run of pairs that share tokens, the first, third, fifth ... are merged
@@ -177,7 +179,7 @@ class Replay:
             after[places] = beyond
             before[beyond] = places
             ahead = before[places]
-            touched = np.unique(np.concatenate([places, ahead[ahead < n]]))
+            touched = np.concatenate([places, ahead[ahead < n]])
             right = after[touched]
             rank[touched] = np.where(right < n, self._rank_of(token[touched], token[right]), _NO_RANK)
             early = rank[touched] < now
@@ -224,20 +226,18 @@ def replay(path: str) -> Replay:
     return _replays[path]
 
 
-def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
-    for value in batch.column(batch.schema.get_field_index(name)):
-        yield value.as_py() or ""
-
-
 def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """(word, n): every different word of all texts with its number of occurrences, for words a lexicon can hold."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter()
         for batch in gathered(batches, _BLOCK_ROWS, BLOCK_BYTES):
-            counts: Counter[str] = Counter()
-            for text in _texts(batch, "__text"):
-                counts.update(split(text))
+            counts: defaultdict[str, int] = defaultdict(int)
+            rows, units = cut(batch.column(0), led=False)
+            times = np.bincount(np.concatenate(rows), minlength=len(units)).tolist()
+            for unit, n in zip(units, times):
+                for word in split(unit) if n else ():
+                    counts[word] += n
             words = pa.array(counts.keys(), pa.string())
             out = pa.RecordBatch.from_arrays([words, pa.array(counts.values(), pa.int64())], ["word", "n"])
             yield out.filter(pa.compute.less_equal(pa.compute.binary_length(words), LEXICON_WORD_BYTES))
@@ -290,23 +290,28 @@ class _Lexicon:
         self.flat = np.frombuffer(b"".join(column.to_pylist()), dtype="<u4")
         self.edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
-    def block(self, texts: Iterator[str]) -> Iterator[bytes]:
-        split, place, known = splitter(), dict[str, int](), self.place
-        rows = []
-        for text in texts:
-            words = split(text)
-            for w in words:
-                if w not in known and w not in place:
-                    place[w] = len(known) + len(place)
-            rows.append(np.fromiter([known[w] if w in known else place[w] for w in words], dtype=np.int32, count=len(words)))
+    def block(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text: of different words, put together to units and then to texts."""
+        split, known, place = splitter(), self.place.get, dict[str, int]()
+        base = len(self.place)
+        rows, units = cut(texts, led=False)
+        words, sizes = [], []
+        for unit in units:
+            found = split(unit)
+            sizes.append(len(found))
+            for w in found:
+                at = known(w)
+                words.append(at if at is not None else place.setdefault(w, base + len(place)))
         ids, edges = replay(self.path).ids([w.encode() for w in place])
         flat = np.concatenate([self.flat, ids])
         edges = np.concatenate([self.edges, self.edges[-1] + edges[1:]])
+        words = np.array(words, dtype=np.int64)
+        counts = edges[words + 1] - edges[words]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        flat = gathered_ids(flat, edges, words)
+        edges = upto[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
         for row in rows:
-            sizes = edges[row + 1] - edges[row]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            yield flat[np.arange(total) + np.repeat(edges[row] - ends + sizes, sizes)].tobytes()
+            yield gathered_ids(flat, edges, row).tobytes()
 
 
 def encoded(
@@ -331,7 +336,7 @@ def encoded(
         for batch in gathered(batches, _BLOCK_ROWS, BLOCK_BYTES):
             at = 0
             found, size = [], 0
-            for ids in held[0].block(_texts(batch, "__text")):
+            for ids in held[0].block(batch.column(1)):
                 found.append(ids)
                 size += len(ids)
                 if size >= _OUT_BYTES:
