@@ -15,14 +15,15 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.linear_training import epoch_table
-from .operators.metrics import metrics_table
+from .operators.metrics import confusion_shares, metrics_table
+from .operators.models import importance
 from .operators.monitoring import class_predictions, family_predictions, health, prediction_summary
-from .plans.prepare import ROW_ID, Prepared, fine_checks, prepare_coarse, prepare_fine
-from .plans.score import score_csv
+from .plans.prepare import ROW_ID, Prepared, coarse_checks, fine_checks, prepare_coarse, prepare_fine
+from .plans.score import score_csv, score_json
 from .plans.train import (
     coarse_search_rows, evaluate, train_coarse_forest, train_coarse_minibatch, train_fine_forest, train_fine_logistic,
 )
-from .schema import BINARY_CLASSES, BINARY_LABEL, CLASSES_FINE, FAMILIES, FAMILY_LABEL, LABEL
+from .schema import BINARY_CLASSES, BINARY_LABEL, CLASSES_FINE, FAMILIES, FAMILY_LABEL, LABEL, SPLIT
 from .sources import tables
 from .sources.csv_files import SOURCE_FILE, load_coarse_flows, load_fine_flows
 from .workspace import tune
@@ -33,14 +34,15 @@ def _write_reports(reports: dict[str, DataFrame], path: str) -> None:
         tables.write_report(df, f"{path}/{name}")
 
 
-def prepare(spark: SparkSession, kind: str, source: str, output: str) -> None:
+def prepare(spark: SparkSession, kind: str, source: str, output: str, drop_duplicates: bool = False, fit_scope: str = "all") -> None:
     if kind == "fine":
         table = prepare_fine(load_fine_flows(spark, source).drop(SOURCE_FILE))
         classes = {"class_names": CLASSES_FINE}
         tables.write_splits(table.data, f"{output}/splits", table.features)
         _write_reports(fine_checks(table, CLASSES_FINE), f"{output}/checks")
     else:
-        table = prepare_coarse(load_coarse_flows(spark, source).drop(SOURCE_FILE))
+        table = prepare_coarse(load_coarse_flows(spark, source).drop(SOURCE_FILE), drop_duplicates=drop_duplicates, fit_scope=fit_scope)
+        _write_reports(coarse_checks(table), f"{output}/checks")
         classes = {"class_names_8": FAMILIES, "class_names_2": BINARY_CLASSES}
         tables.write_splits(table.data, f"{output}/splits")
     tables.write_preprocessing(table.prep, f"{output}/preprocessing", spark)
@@ -72,7 +74,8 @@ def train(spark: SparkSession, kind: str, model: str, source: str, output: str)
     for name, (fitted, label, classes) in models.items():
         result = evaluate(fitted, table, label, classes)
         _write_reports(
-            {"metrics": metrics_table(result.by_split), "gap": result.gap, "test_classes": result.test_report}, f"{output}/reports/{name}")
+            {"metrics": metrics_table(result.by_split), "gap": result.gap, "test_classes": result.test_report, "confusion": result.counts,
+             "shares": confusion_shares(result.counts, [SPLIT], 4), "importance": importance(spark, fitted, table.features)}, f"{output}/reports/{name}")
 
 
 def report_health(spark: SparkSession, source: str, output: str) -> None:
@@ -94,6 +97,9 @@ def main() -> None:
         c.add_argument("kind", choices=["fine", "coarse"])
         c.add_argument("--input", required=True)
         c.add_argument("--output", required=True)
+        if name == "prepare":
+            c.add_argument("--drop-duplicates", action="store_true", help="coarse: keep one of each set of equal rows")
+            c.add_argument("--fit-scope", choices=["all", "train"], default="all", help="coarse: rows that medians and log minimums are fitted on")
         if name == "train":
             c.add_argument("--model", choices=["logistic", "forest"], default="logistic")
     for name in ("score", "health"):
@@ -105,11 +111,12 @@ def main() -> None:
     args = parser.parse_args()
     spark = tune(SparkSession.builder.appName(f"flowlens-{args.command}").getOrCreate())
     if args.command == "prepare":
-        prepare(spark, args.kind, args.input, args.output)
+        prepare(spark, args.kind, args.input, args.output, args.drop_duplicates, args.fit_scope)
     elif args.command == "train":
         train(spark, args.kind, args.model, args.input, args.output)
     elif args.command == "score":
-        score_csv(spark, args.input, tables.load_bundle(spark, args.bundle), args.bundle.rstrip("/").rsplit("/", 1)[-1], args.output)
+        score = score_csv if args.input.rstrip("/").lower().endswith(".csv") else score_json
+        score(spark, args.input, tables.load_bundle(spark, args.bundle), args.bundle.rstrip("/").rsplit("/", 1)[-1], args.output)
     else:
         report_health(spark, args.input, args.output)
     spark.stop()

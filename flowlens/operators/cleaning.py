@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,20 +110,44 @@ def drop_incomplete_rows(df: DataFrame) -> DataFrame:
 def drop_duplicate_rows(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """Keep one row of each set of equal rows: the one with the lowest row id.
 
-    A grouping with map-side combine, so a value that fills a third of the
-    table reaches the shuffle once per task.
+    Rows are grouped by a 128-bit digest of their values and combined before
+    the shuffle, so a row that fills a third of the table reaches it once per
+    task. Rows of one digest must agree in every column; if they did not, the
+    job would fail rather than drop one.
     """
     if row_id is None:
         return df.dropDuplicates()
     data = [c for c in df.columns if c != row_id]
-    kept = df.groupBy(*[F.col(ident(c)) for c in data]).agg(F.min(row_id).alias(row_id))
-    return kept.select(*[F.col(ident(c)) for c in df.columns])
+    kept = df.groupBy(*row_digest(df, data)).agg(F.min(F.col(ident(row_id))).alias("__id"), *_first_and_last(data))
+    checked = kept.where(_agreed(data))
+    values = {c: F.col(f"__low{i}") for i, c in enumerate(data)} | {row_id: F.col("__id")}
+    return checked.select(*[values[c].alias(c) for c in df.columns])
+
+
+def row_digest(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Two 64-bit hashes of a row's values. Which cells are null takes part; both zeros are one value, and so are all NaN."""
+    numeric = set(numeric_columns(df))
+    cells = [F.col(ident(c)) + F.lit(0) if c in numeric else F.col(ident(c)) for c in columns]
+    nulls = F.concat(*[F.when(F.col(ident(c)).isNull(), "1").otherwise("0") for c in columns])
+    return [F.xxhash64(nulls, *cells).alias("__digest"), F.xxhash64(F.lit(1), nulls, *cells).alias("__digest2")]
+
+
+def _first_and_last(columns: list[str]) -> list[Column]:
+    return [f(F.col(ident(c))).alias(f"__{name}{i}") for i, c in enumerate(columns) for name, f in (("low", F.min), ("high", F.max))]
+
+
+def _agreed(columns: list[str]) -> Column:
+    """True; an error where rows of one digest differ."""
+    same = F.lit(True)
+    for i in range(len(columns)):
+        same = same & F.col(f"__low{i}").eqNullSafe(F.col(f"__high{i}"))
+    return F.when(same, True).otherwise(F.raise_error(F.lit("two different rows share a 128-bit digest")).cast("boolean"))
 
 
 def duplicate_summary(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """Rows before, rows removed as duplicates, and their percentage."""
-    data = [F.col(ident(c)) for c in df.columns if c != row_id]
-    groups = df.groupBy(*data).agg(F.count(F.lit(1)).alias("__copies"))
+    data = [c for c in df.columns if c != row_id]
+    groups = df.groupBy(*row_digest(df, data)).agg(F.count(F.lit(1)).alias("__copies"), *_first_and_last(data)).where(_agreed(data))
     totals = groups.agg(
         F.coalesce(F.sum("__copies"), F.lit(0)).alias("rows_before"), F.count(F.lit(1)).alias("rows_kept"),
     )

@@ -248,3 +248,9 @@ def logistic_importance(spark: SparkSession, model: Model, features: list[str])
 
 def top_features(importance: DataFrame, k: int = 20) -> DataFrame:
     return importance.orderBy(F.col("importance").desc(), "feature").limit(k)
+
+
+def importance(spark: SparkSession, model: Model, features: list[str]) -> DataFrame:
+    """Importance table of a forest or a linear model."""
+    made = forest_importance if hasattr(model, "featureImportances") else logistic_importance
+    return made(spark, model, features)

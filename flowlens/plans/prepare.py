@@ -20,7 +20,9 @@ from ..operators.cleaning import (
 from ..operators.ranking import index_stored_rows
 from ..operators.sampling import balanced_sample, stratified_split
 from ..operators.scoring import Preprocessing
-from ..operators.transforms import apply_log, apply_scaler, fit_log_shifts, fit_scaler, log_minimums, scaler_values
+from ..operators.transforms import (
+    apply_log, apply_scaler, fit_log_shifts, fit_scaler, log_minimums, scaler_values, zero_variance_features,
+)
 from ..schema import (
     BINARY_LABEL, FAMILY_LABEL, LABEL, MAX_CAP, MIN_SAMPLES, SEED, SPLIT, TARGET_TOTAL, ident,
 )
@@ -117,3 +119,13 @@ def fine_checks(prepared: Prepared, classes: list[str], target: int = TARGET_TOT
         "presence": checks.class_presence(prepared.data, classes),
         "shift": checks.split_shift(prepared.data),
     }
+
+
+def coarse_checks(prepared: Prepared) -> dict[str, DataFrame]:
+    """The checks a coarse table should pass before it is used: cells, shift of both labels, features without variance."""
+    train = prepared.data.where(F.col(SPLIT) == "train")
+    return {
+        "clean": checks.clean_splits(prepared.data, prepared.features),
+        "shift_family": checks.split_shift(prepared.data, FAMILY_LABEL), "shift_binary": checks.split_shift(prepared.data, BINARY_LABEL),
+        "zero_variance": zero_variance_features(train, prepared.features),
+    }

@@ -91,23 +91,31 @@ def complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.drop_incomplete_rows(df).groupBy(LABEL).agg(F.count(F.lit(1)).alias("rows"))
 
 
-_DISCRETE = ["Protocol Type", "ack_count", "syn_count", "fin_count", "rst_count", "HTTP", "HTTPS", "DNS", "TCP"]
-_DISCRETE_SQL = ", ".join(map(quoted, _DISCRETE))
+_ALL_SQL = ", ".join(map(quoted, FEATURES_FINE))
+#: Flows with planted repeats: every seventh order is one and the same row, and second items come twice.
+_PLANTED_SQL = "planted AS (SELECT flow_id, " + ", ".join(
+    f"CASE WHEN l_orderkey % 7 = 0 THEN CAST({i} AS DOUBLE) ELSE {quoted(f)} END AS {quoted(f)}" for i, f in enumerate(FEATURES_FINE)
+) + " FROM (SELECT * FROM flows UNION ALL SELECT * REPLACE ('copy-' || flow_id AS flow_id) FROM flows WHERE l_linenumber = 2))"
 
 
-@query("p07_distinct_rows", over_flows(f"SELECT {_DISCRETE_SQL}, min(flow_id) AS flow_id FROM flows GROUP BY {_DISCRETE_SQL}"))
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = flows(spark, sf_dir)
+    copies = df.where("l_linenumber = 2").withColumn(ROW_ID, F.concat(F.lit("copy-"), ROW_ID))
+    one = F.col("l_orderkey") % 7 == 0
+    return df.unionByName(copies).select(ROW_ID, *[F.when(one, float(i)).otherwise(F.col(ident(f))).alias(f) for i, f in enumerate(FEATURES_FINE)])
+
+
+@query("p07_distinct_rows", over_flows(f"SELECT {_ALL_SQL}, min(flow_id) AS flow_id FROM planted GROUP BY {_ALL_SQL}", _PLANTED_SQL))
 def distinct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = flows(spark, sf_dir).select(*[F.col(ident(c)) for c in _DISCRETE], ROW_ID)
-    return cleaning.drop_duplicate_rows(df, ROW_ID)
+    return cleaning.drop_duplicate_rows(_planted(spark, sf_dir), ROW_ID)
 
 
 @query("p07_duplicate_summary", over_flows(f"""
 SELECT CAST(sum(n) AS BIGINT) AS rows_before, CAST(sum(n) - count(*) AS BIGINT) AS rows_removed,
   CAST(sum(n) - count(*) AS DOUBLE) / CAST(sum(n) AS DOUBLE) * 100 AS removed_pct
-FROM (SELECT count(*) AS n FROM flows GROUP BY {_DISCRETE_SQL})"""))
+FROM (SELECT count(*) AS n FROM planted GROUP BY {_ALL_SQL})""", _PLANTED_SQL))
 def duplicate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = flows(spark, sf_dir).select(*[F.col(ident(c)) for c in _DISCRETE], ROW_ID)
-    return cleaning.duplicate_summary(df, ROW_ID)
+    return cleaning.duplicate_summary(_planted(spark, sf_dir), ROW_ID)
 
 
 @query("p08_float32", over_flows(stacked(

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from ..functions.labels import encode
 from ..functions.probabilities import log_loss
 from ..operators import linear_training, metrics, models
+from ..operators.distributions import class_shares
 from ..operators.sampling import stratified_subset
 from ..operators.sanitize import COARSE_LABELS, FINE_LABELS, sanitize
 from ..operators.scoring import apply_model, feature_vector, linear_model, score_coarse, score_coarse_linear, score_fine, score_fine_linear
 from ..plans.flows import ROW_ID, flows
 from ..plans.prepare import Prepared, prepare_coarse, prepare_fine
+from ..plans.score import score_json
 from ..plans.train import coarse_search_rows, evaluate, train_coarse_logistic, train_coarse_minibatch, train_fine_logistic
 from ..schema import (
     BINARY_CLASSES, BINARY_LABEL, CLASSES_FINE, FAMILIES, FAMILY_LABEL, FEATURES_COARSE, FEATURES_FINE, LABEL, SPLIT,
@@ -21,15 +23,16 @@ from ..schema import (
 )
 from ..sources import tables
 from ..streaming import health as stream_health
+from ..streaming.drift import start_closing_windows, start_drift
 from ..sources.records import REASON
 from ..streaming.scoring import record_stream, start_rejects, start_scoring
-from ..workspace import new_path
+from ..workspace import materialize, new_path
 from .common import (
     clean_cte, coarse_logged_cte, coarse_preprocessing, fine_preprocessing, fixed_weights,
-    json_folder, probability_ctes,
+    json_folder, probability_ctes, scaler_cte,
 )
 from .registry import query, shared
-from .sqltext import over_flows, text
+from .sqltext import over_flows, quoted, text
 
 #: Registered forests are fitted on at most this many stratified rows, as many as a search reads.
 FOREST_ROWS = TUNE_SUBSET_ROWS
@@ -246,10 +249,11 @@ def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
                 named_struct('best', s.best, 'epoch', s.epoch, 'stop', IF(s.stop = 0 AND e.epoch - s.epoch >= {patience}, e.epoch, s.stop))))""").alias("s"))
         stop = F.when(F.col("s.stop") > 0, F.col("s.stop")).otherwise(linear_training.EPOCHS)
         counts = evaluate(model, table, label, classes).counts.where(F.col(SPLIT) == "val")
-        restored = metrics.summary_metrics(counts).select((F.abs(F.col("f1") - max(e.val_f1 for e in trained.history if e.epoch == trained.best_epoch)) < 1e-9).alias("best_weights_restored"))
+        f1, best = metrics.summary_metrics(counts).first()["f1"], trained.history[trained.best_epoch - 1].val_f1
         part = walked.select(
             F.lit(label).alias("label"), (F.col("n") == F.col("last")).alias("one_row_per_epoch"),
-            (F.col("s.epoch") == trained.best_epoch).alias("winner_agrees"), (stop == F.col("last")).alias("stop_agrees")).join(restored)
+            (F.col("s.epoch") == trained.best_epoch).alias("winner_agrees"), (stop == F.col("last")).alias("stop_agrees"),
+            F.lit(abs(f1 - best) < 1e-9).alias("best_weights_restored"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -341,12 +345,12 @@ def search_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for label, classes in ((BINARY_LABEL, BINARY_CLASSES), (FAMILY_LABEL, FAMILIES)):
         found = _forest_search(spark, sf_dir, label, classes)[1]
-        share = _search_rows(spark, sf_dir).groupBy(ident(label)).agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") / F.sum("n")).alias("share"))
+        share = _search_rows(spark, sf_dir).groupBy(ident(label)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n") / F.sum("n")).first()[0]
         twins = Window.partitionBy("trees", F.coalesce("depth", F.lit(models.DEEPEST)), "min_leaf")
         # naming the largest class, of share s, has the weighted F1 s * 2s / (1 + s)
-        part = found.join(share).select(
+        part = found.select(
             F.lit(label).alias("label"), "draw", "trees", "depth", "min_split", "min_leaf", "folds", "scored_rows", F.col("weighted_f1").between(0, 1).alias("in_range"),
-            (F.col("weighted_f1") > 2 * F.col("share") * F.col("share") / (1 + F.col("share"))).alias("beats_largest_class"),
+            (F.col("weighted_f1") > 2 * share * share / (1 + share)).alias("beats_largest_class"),
             (F.max("weighted_f1").over(twins) - F.min("weighted_f1").over(twins) < 1e-9).alias("equals_twins"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -437,18 +441,28 @@ def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(output).select(ROW_ID, "predicted_class", F.round("confidence", 6).alias("confidence"))
 
 
+def _lines_folder(spark: SparkSession, sf_dir: str) -> str:
+    """All flows as JSON lines, with broken and foreign lines among them."""
+
+    def build() -> str:
+        df = flows(spark, sf_dir)
+        good = df.select(F.to_json(F.struct(ROW_ID, *[F.col(ident(f)) for f in FEATURES_FINE])).alias("value"))
+        broken = df.where("l_linenumber = 1").select(F.concat(F.lit('{"Rate": '), ROW_ID).alias("value"))
+        foreign = df.where("l_linenumber = 2").select(F.to_json(F.struct(F.col(ROW_ID).alias("foo"))).alias("value"))
+        folder = new_path(spark, "lines")
+        good.unionAll(broken).unionAll(foreign).write.text(folder)
+        return folder
+
+    return shared(spark, sf_dir, "mixed lines", build)
+
+
 @query("t01_stream_rejects", over_flows("""
 SELECT 'scored' AS outcome, count(*) AS rows FROM flows
 UNION ALL SELECT 'not a JSON object', count(*) FROM flows WHERE l_linenumber = 1
 UNION ALL SELECT 'no expected feature', count(*) FROM flows WHERE l_linenumber = 2"""))
 def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all flows with broken and foreign lines among them: only the records are scored."""
-    df = flows(spark, sf_dir)
-    good = df.select(F.to_json(F.struct(ROW_ID, *[F.col(ident(f)) for f in FEATURES_FINE])).alias("value"))
-    broken = df.where("l_linenumber = 1").select(F.concat(F.lit('{"Rate": '), ROW_ID).alias("value"))
-    foreign = df.where("l_linenumber = 2").select(F.to_json(F.struct(F.col(ROW_ID).alias("foo"))).alias("value"))
-    folder, scored, rejects = (new_path(spark, name) for name in ("lines", "stream", "rejects"))
-    good.unionAll(broken).unionAll(foreign).write.text(folder)
+    folder, scored, rejects = _lines_folder(spark, sf_dir), new_path(spark, "stream"), new_path(spark, "rejects")
     weights, bias = fixed_weights(len(FEATURES_FINE), len(CLASSES_FINE))
     prep = fine_preprocessing(spark, sf_dir)
 
@@ -497,6 +511,106 @@ def batch_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(output).select("rows", "attacks", "attack_types", "attack_share", "status")
 
 
+_DRIFT_BATCHES = ["l_linenumber = 1", "l_linenumber = 2", "l_linenumber IN (3, 4)", "l_linenumber > 4"]
+_BATCH_FILES = 4
+_SHIFTS = ", ".join(f"abs(avg({quoted(f)}) - any_value(m{i})) / any_value(s{i})" for i, f in enumerate(FEATURES_FINE))
+
+
+def _drift_sql(scope: str, condition: str) -> str:
+    return f"""SELECT batch_id, {text(scope)} AS scope, c.rows, attacks, attack_types, CAST(attacks AS DOUBLE) / CAST(c.rows AS DOUBLE) AS attack_share,
+  round(class_shift, 9) AS class_shift, class_alerts, round(list_max(shifts), 6) AS feature_shift, CAST(len([x FOR x IN shifts IF x > 3]) AS BIGINT) AS feature_alerts
+FROM (SELECT b.batch AS batch_id, count(*) AS rows, count(*) FILTER (predicted <> 'BENIGN') AS attacks,
+    count(DISTINCT CASE WHEN predicted <> 'BENIGN' THEN predicted END) AS attack_types, [{_SHIFTS}] AS shifts
+  FROM batches b JOIN dealt d ON {condition} JOIN clean USING (flow_id) JOIN scaler ON true GROUP BY b.batch) c
+JOIN (SELECT batch, max(abs(coalesce(now, 0) - coalesce(share, 0))) AS class_shift,
+    count(*) FILTER (now IS NULL OR share IS NULL OR abs(now - share) > 0.02) AS class_alerts
+  FROM (SELECT b.batch, coalesce(n.class, t.class) AS class, n.now, t.share FROM batches b JOIN (
+      SELECT b.batch, d.predicted AS class, CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY b.batch) AS DOUBLE) AS now
+      FROM batches b JOIN dealt d ON {condition} GROUP BY b.batch, d.predicted) n ON n.batch = b.batch FULL JOIN
+      (SELECT batch, class, share FROM batches, trained) t ON t.batch = n.batch AND t.class = n.class) GROUP BY batch) s ON s.batch = c.batch_id"""
+
+
+@query("t02_batch_drift", over_flows(
+    "SELECT *, " + """CASE WHEN attack_share > 0.8 THEN 'Critical' WHEN attack_share > 0.3 AND attack_types >= 5 THEN 'Critical'
+  WHEN attack_share <= 0.3 THEN 'Stable' ELSE 'Warning' END AS status FROM (""" + _drift_sql("batch", "d.batch = b.batch") + " UNION ALL " + _drift_sql("so far", "d.batch <= b.batch") + ")",
+    clean_cte(), scaler_cte(FEATURES_FINE, "clean"),
+    "dealt AS (SELECT flow_id, predicted, CAST(CASE " + " ".join(f"WHEN {c} THEN {i}" for i, c in enumerate(_DRIFT_BATCHES)) + " END AS BIGINT) AS batch FROM flows)",
+    "batches AS (SELECT DISTINCT batch FROM dealt)",
+    """trained AS (SELECT "Label" AS class, CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM flows WHERE split = 'train' GROUP BY "Label")"""))
+def batch_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows arrive in four batches of as many files as a trigger takes; status and drift of each and of all so far."""
+    folder, output = new_path(spark, "arrivals"), new_path(spark, "drift")
+    df = flows(spark, sf_dir)
+    columns = [F.col("predicted"), *[F.col(ident(f)) for f in FEATURES_FINE]]
+    for condition in _DRIFT_BATCHES:  # files are taken in the order they were written
+        df.where(condition).select(*columns).repartition(_BATCH_FILES, F.xxhash64(ROW_ID)).write.mode("append").parquet(folder)
+    arrivals = spark.readStream.schema(df.select(*columns).schema).option("maxFilesPerTrigger", _BATCH_FILES).parquet(folder)
+    trained = class_shares(df.where(F.col(SPLIT) == "train"), LABEL).select(F.col(LABEL).alias("class"), "share")
+    shares = materialize(trained, "shares")
+    start_drift(
+        arrivals, "predicted", FEATURES_FINE, shares, fine_preprocessing(spark, sf_dir).scaler, output, new_path(spark, "checkpoint"), available_now=True).awaitTermination()
+    found = spark.read.parquet(f"{output}/drift").drop("batch")
+    return found.withColumn("class_shift", F.round("class_shift", 9)).withColumn("feature_shift", F.round("feature_shift", 6))
+
+
+#: Events in three thirds of their time; every fifth one arrives with the third after its own.
+_EVENT_BATCH_SQL = """CAST(least(2, floor(3 * (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events) + 1))
+  + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT)"""
+
+
+@query("t03_closed_windows", f"""WITH e AS (SELECT ts, CASE WHEN event_type = 'view' THEN 'BENIGN' ELSE upper(event_type) END AS predicted_class, {_EVENT_BATCH_SQL} AS batch FROM events),
+b AS (SELECT batch, count(*) AS n, max(ts) AS top FROM e GROUP BY batch),
+w AS (SELECT batch, n, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 MINUTE AS mark, max(top) OVER () - INTERVAL 10 MINUTE AS final FROM b),
+j AS (SELECT e.*, w.final, time_bucket(INTERVAL 1 HOUR, e.ts) AS start, coalesce(time_bucket(INTERVAL 1 HOUR, e.ts) + INTERVAL 1 HOUR <= w.mark, false) AS late FROM e JOIN w USING (batch)),
+closed AS (SELECT CAST(epoch(start) AS BIGINT) AS window_start, count(*) AS rows, count(*) FILTER (predicted_class <> 'BENIGN') AS attacks,
+  count(DISTINCT CASE WHEN predicted_class <> 'BENIGN' THEN predicted_class END) AS attack_types FROM j WHERE NOT late AND start + INTERVAL 1 HOUR <= final GROUP BY start)
+SELECT 'window' AS kind, window_start AS place, rows, attacks, attack_types FROM closed
+UNION ALL SELECT 'late', batch, count(*) FILTER (late), count(*) FILTER (late AND predicted_class <> 'BENIGN'),
+  count(DISTINCT CASE WHEN late AND predicted_class <> 'BENIGN' THEN predicted_class END) FROM j GROUP BY batch""")
+def closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that closed, each once, and the late rows of each batch."""
+    folder, output = new_path(spark, "arrivals"), new_path(spark, "closing")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(micros), F.max(micros)).first()
+    part = F.floor(F.lit(3) * (micros - low) / F.lit(high - low + 1)) + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)
+    dealt = events.select(F.col("ts").cast("timestamp").alias("ts"), _event_class().alias("predicted_class"), F.least(F.lit(2), part).alias("third"), "event_id")
+    for third in range(3):
+        dealt.where(F.col("third") == third).repartition(_BATCH_FILES, "event_id").select("ts", "predicted_class").write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("ts timestamp, predicted_class string").option("maxFilesPerTrigger", _BATCH_FILES).parquet(folder)
+    start_closing_windows(stream, "predicted_class", output, new_path(spark, "checkpoint"), available_now=True).awaitTermination()
+    windows = spark.read.parquet(f"{output}/windows").select(
+        F.lit("window").alias("kind"), F.col("window_start").cast("long").alias("place"), "rows", "attacks", "attack_types")
+    late = spark.read.schema("ts timestamp, predicted_class string, batch long").parquet(f"{output}/late")
+    attack = F.col("predicted_class") != "BENIGN"
+    counted = late.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.count_if(attack).alias("attacks"), F.count_distinct(F.when(attack, F.col("predicted_class"))).alias("attack_types"))
+    every = spark.read.parquet(f"{output}/batches").select(F.col("batch_id").alias("batch")).join(counted, "batch", "left").fillna(0)
+    return windows.unionByName(every.select(F.lit("late").alias("kind"), F.col("batch").alias("place"), "rows", "attacks", "attack_types"))
+
+
+@query("s04_scored_lines", over_flows("""
+SELECT 'scored' AS outcome, label AS what, count(*) AS rows FROM best JOIN classes ON idx = k WHERE place = 1 GROUP BY label
+UNION ALL SELECT 'rejected', 'not a JSON object', count(*) FROM flows WHERE l_linenumber = 1
+UNION ALL SELECT 'rejected', 'no expected feature', count(*) FROM flows WHERE l_linenumber = 2
+UNION ALL SELECT 'adjusted', 'rows', count(*) FROM flows WHERE "AVG" IS NULL OR isinf("Rate")
+UNION ALL SELECT 'adjusted', 'values', CAST(sum(CAST("AVG" IS NULL AS INT) + CAST(isinf("Rate") AS INT)) AS BIGINT) FROM flows
+UNION ALL SELECT 'index', 'lines', (SELECT count(*) FROM flows) + count(*) FROM flows WHERE l_linenumber <= 2
+UNION ALL SELECT 'index', 'last', (SELECT count(*) FROM flows) + count(*) - 1 FROM flows WHERE l_linenumber <= 2""", *_FINE_P, _TOP))
+def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines with broken and foreign ones among them, scored end to end."""
+    weights, bias = fixed_weights(len(FEATURES_FINE), len(CLASSES_FINE))
+    bundle = tables.Bundle(fine_preprocessing(spark, sf_dir), {"fine": linear_model(spark, weights, bias)}, {"fine": CLASSES_FINE})
+    run = score_json(spark, _lines_folder(spark, sf_dir), bundle, "fixed")
+    rows = run.predictions.groupBy(F.lit("scored").alias("outcome"), F.col("predicted_class").alias("what")).agg(F.count(F.lit(1)).alias("rows"))
+    bad = run.rejects.groupBy(F.lit("rejected").alias("outcome"), F.col(REASON).alias("what")).agg(F.count(F.lit(1)).alias("rows"))
+    note = run.adjustments.select(F.inline(F.array(*[
+        F.struct(F.lit("adjusted").alias("outcome"), F.lit(n).alias("what"), F.col(c).alias("rows")) for n, c in (("rows", "rows_adjusted"), ("values", "invalid_values_replaced"))])))
+    index = run.predictions.select("index").unionByName(run.rejects.select("index"))
+    ends = index.agg(F.count_distinct("index").alias("n"), F.max("index").alias("last")).select(F.inline(F.array(
+        F.struct(F.lit("index").alias("outcome"), F.lit("lines").alias("what"), F.col("n").alias("rows")), F.struct(F.lit("index").alias("outcome"), F.lit("last").alias("what"), F.col("last").alias("rows")))))
+    return rows.unionByName(bad).unionByName(note).unionByName(ends)
+
+
 @query("t03_windowed_health", f"""{_EVENT_CTE} SELECT *, {_STATUS} FROM (
 SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS window_start, {_EVENT_COUNTS} FROM scored GROUP BY 1)""")
 def windowed_health(spark: SparkSession, sf_dir: str) -> DataFrame:
