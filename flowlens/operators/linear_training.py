@@ -71,7 +71,7 @@ class Weights:
 
 @dataclass
 class Batches:
-    """Stored training rows: columns x0, x1, ..., y, w and batch."""
+    """Stored training rows: the features as an array x, the class y, the weight w, and batch."""
 
     data: DataFrame
     features: int
@@ -87,26 +87,25 @@ def stored_batches(
     """Rows dealt to batches by the hash of their id, written once."""
     rows = df.count()
     number = max(1, min(most, -(-rows // batch_rows)))
-    columns = [F.col(ident(f)).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
+    x = F.array(*[F.col(ident(f)).cast("double") for f in features]).alias("x")
     files = max(1, -(-rows // (number * FILE_ROWS)))
 
     def part(count: int, salt: int):
         return F.pmod(F.xxhash64(F.col(ident(row_id)), F.lit(salt)), F.lit(count)).cast("int")
 
     dealt = df.select(
-        *columns, encode(F.col(ident(label)), classes).cast("int").alias("y"), F.col(weight).cast("double").alias("w"),
+        x, encode(F.col(ident(label)), classes).cast("int").alias("y"), F.col(weight).cast("double").alias("w"),
         part(number, seed).alias("batch"), part(files, seed + 1).alias("__file"),
     ).repartition(number * files, "batch", "__file").drop("__file")
     return Batches(materialize(dealt, "batches", ["batch"]), len(features), len(classes), number, rows)
 
 
-def _columns(features: int) -> list[str]:
-    return [*[f"x{i}" for i in range(features)], "y", "w"]
+_COLUMNS = ["x", "y", "w"]
 
 
 def _arrays(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(features)]) if batch.num_rows else np.zeros((0, features))
-    return x, batch.column(features).to_numpy(zero_copy_only=False), batch.column(features + 1).to_numpy(zero_copy_only=False)
+    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, features)
+    return x, batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
 
 
 def _gradient(weights: Weights, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +162,7 @@ def sums(data: DataFrame, features: int, classes: int, weights: Weights, curved:
                         curvature[k] += (x * (w * p[:, k] * (1 - p[:, k]))[:, None]).T @ x
         return np.concatenate([gradient.ravel(), rest, confusion, curvature.ravel()])
 
-    values = _added_up(data.select(*_columns(features)), work)
+    values = _added_up(data.select(*_COLUMNS), work)
     size, cells = classes * n, classes * classes
     values = values if len(values) else np.zeros(size + 3 + cells + (size * n if curved else 0))
     gradient, rest, confusion, curvature = np.split(values, np.cumsum([size, 3, cells]))
@@ -270,7 +269,7 @@ def train_variance_reduced(
     """
     classes, features = train.classes, train.features
     free = np.diag([penalty] * features + [0.0])
-    rows = train.data.select(*_columns(features))
+    rows = train.data.select(*_COLUMNS)
     weights = start or Weights(np.zeros((classes, features + 1)))
     size, best, still, history = 1.0, None, 0, []
     for number in range(1, passes + 1):

@@ -31,7 +31,7 @@ def test_batches_hold_every_row_once(spark, points):
     x, y, w, stored = points
     assert (stored.batches, stored.rows) == (5, 900)
     rows = stored.data.collect()
-    assert sorted(r["x0"] for r in rows) == sorted(x[:, 0].tolist()) and {r["batch"] for r in rows} == set(range(5))
+    assert sorted(r["x"][0] for r in rows) == sorted(x[:, 0].tolist()) and {r["batch"] for r in rows} == set(range(5))
 
 
 def test_sums_equal_numpy(points):
@@ -60,7 +60,7 @@ def test_minibatch_steps_equal_a_plain_loop(points):
     rows = stored.data.collect()
     parts = {}
     for r in rows:
-        parts.setdefault(r["batch"], []).append([*[r[f"x{i}"] for i in range(4)], r["y"], r["w"]])
+        parts.setdefault(r["batch"], []).append([*r["x"], r["y"], r["w"]])
     first = second = np.zeros_like(matrix)
     step, losses = 0, []
     for _ in range(3):
