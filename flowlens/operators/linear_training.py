@@ -50,6 +50,8 @@ EPSILON = 1e-8
 MOST_BATCHES = 8
 #: Rows of a batch that share a file, and so a task.
 FILE_ROWS = 250_000
+#: Steps are halved down to this part before a pass that raises the objective counts as one that does not better it.
+SMALLEST_STEP = 1 / 64
 #: Rows of a corrected step inside a task.
 STEP_ROWS = 256
 
@@ -278,7 +280,7 @@ def train_variance_reduced(
         history.append(Pass(number, value, float(np.abs(gradient).max())))
         if best is not None and value > best[0]:
             size /= 2
-            still += 1
+            still += size < SMALLEST_STEP
             _, weights, gradient, scale = best
         else:
             still = still + 1 if best is not None and best[0] - value < tol * max(abs(value), tol) else 0
