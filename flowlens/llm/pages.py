@@ -9,16 +9,18 @@ element.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are cut by their tag, role or class before scoring and
-extraction alike.  A heading inside the article is part of it.  Null or empty
+extraction alike.  A heading inside the article is part of it.  A tag ends at the
+last > of the page at the latest; an open comment reaches to the end.  Null or empty
 html, and pages without text, give an empty text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -50,9 +52,10 @@ DROPPED_WORDS = frozenset(
 ARTICLE_TAGS = frozenset(["article", "main"])
 
 _MARKUP = re.compile(
-    r"<!--(?:>|->|.*?(?:-->|--!>|$))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:[\"'][^>]*+)?)>|<[!?/][^>]*>", re.S
+    r"<!--(?:>|->|.*?(?:-->|--!>|$))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:[\"'][^>]*+)?)>|<[!?/][^>]*>", re.S
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+_COMMENT_END = re.compile(r"<!--(?:>|->)|-->|--!>")
 _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -62,7 +65,8 @@ _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 @dataclass(slots=True)
 class Node:
     tag: str
-    path: str
+    part: str  # what the element adds to its path; empty for inline elements
+    digest: Digest  # of the whole path
     parent: Node | None
     dropped: bool
     link: bool
@@ -70,6 +74,33 @@ class Node:
     order: int = 0
 
 
+class Digest:
+    """Digest of a path, extended part by part, so that deep pages need no path strings."""
+
+    __slots__ = ("hasher", "value")
+
+    def __init__(self, hasher):
+        self.hasher, self.value = hasher, hasher.digest()
+
+    def longer(self, part: str) -> Digest:
+        hasher = self.hasher.copy()
+        hasher.update(part.encode("utf-8", "surrogatepass"))
+        return Digest(hasher)
+
+
+def _digest(path: str) -> Digest:
+    return Digest(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16))
+
+
+def path_of(node: Node) -> str:
+    """Tags and classes from the root to the element."""
+    parts = []
+    while node is not None:
+        parts.append(node.part)
+        node = node.parent
+    return "".join(reversed(parts))
+
+
 @dataclass(slots=True)
 class Block:
     node: Node
@@ -99,8 +130,9 @@ def _drops(tag: str, attributes: dict[str, str]) -> bool:
 
 def blocks_of(html: str) -> list[Block]:
     """Blocks of text outside dropped elements, in page order, with the elements they stand in."""
-    root = Node("", "", None, False, False)
+    root = Node("", "", _digest(""), None, False, False)
     stack, out, count = [root], [], 0
+    open_tags: Counter = Counter()  # elements on the stack by tag: most searches of it need not start
     current: Block | None = None
     at = 0
 
@@ -125,16 +157,25 @@ def blocks_of(html: str) -> list[Block]:
         nonlocal current
         if any(n.tag not in INLINE for n in stack[depth:]):
             current = None
+        open_tags.subtract(n.tag for n in stack[depth:])
         del stack[depth:]
 
+    def push(node: Node) -> None:
+        stack.append(node)
+        open_tags[node.tag] += 1
+
     size = len(html)
+    last = html.rfind(">") + 1  # no tag ends beyond; an open comment reaches to the end
     while at < size:
-        m = _MARKUP.search(html, at)
+        m = _MARKUP.search(html, at, last) if at < last else None
         if m is None:
-            add(html[at:])
+            comment = html.find("<!--", at)
+            add(html[at:] if comment < 0 else html[at:comment])
             break
         add(html[at : m.start()])
         at = m.end()
+        if at == last and html.startswith("<!--", m.start()) and not _COMMENT_END.search(html, m.start(), at):
+            break
         name = m.group(2)
         if name is None:
             continue
@@ -142,7 +183,7 @@ def blocks_of(html: str) -> list[Block]:
         if m.group(1):
             if tag == "br":
                 add(" ")
-            depth = len(stack) - 1
+            depth = len(stack) - 1 if open_tags[tag] else 0
             while depth and stack[depth].tag != tag:
                 if tag in INLINE and stack[depth].tag not in INLINE:
                     depth = 0
@@ -156,13 +197,13 @@ def blocks_of(html: str) -> list[Block]:
                 add(" ")
             continue
         if tag in CLOSES_P:
-            depth = len(stack) - 1
+            depth = len(stack) - 1 if open_tags["p"] else 0
             while depth and stack[depth].tag != "p" and (stack[depth].tag in INLINE):
                 depth -= 1
             if depth and stack[depth].tag == "p":
                 close_to(depth)
         elif tag in SIBLINGS:
-            depth = len(stack) - 1
+            depth = len(stack) - 1 if any(open_tags[t] for t in SIBLINGS[tag]) else 0
             while depth and stack[depth].tag not in SIBLING_SCOPE:
                 if stack[depth].tag in SIBLINGS[tag]:
                     close_to(depth)
@@ -175,23 +216,24 @@ def blocks_of(html: str) -> list[Block]:
             continue
         top = stack[-1]
         if tag in INLINE:
-            path = top.path
+            part, digest = "", top.digest
         else:
             classes = " ".join(sorted(_DIGITS.sub("", c) for c in attributes.get("class", "").split()))
-            path = f"{top.path}>{tag}.{classes}" if classes.strip() else f"{top.path}>{tag}"
+            part = f">{tag}.{classes}" if classes.strip() else f">{tag}"
+            digest = top.digest.longer(part)
         count += 1
         dropped = top.dropped or _drops(tag, attributes)
         if tag in RAW:
             end = _RAW_END[tag].search(html, at)
             body = html[at : end.start() if end else size]
             at = end.start() if end else size
-            stack.append(Node(tag, path, top, dropped, top.link))
+            push(Node(tag, part, digest, top, dropped, top.link))
             if not dropped:
                 add(body)
             continue
         if m.group(3).endswith("/") and tag in ("svg", "math", "path"):
             continue
-        stack.append(Node(tag, path, top, dropped, top.link or tag == "a", 0.0, count))
+        push(Node(tag, part, digest, top, dropped, top.link or tag == "a", 0.0, count))
     return out
 
 
@@ -215,29 +257,34 @@ def best_container(blocks: list[Block]) -> Node | None:
     return best
 
 
-def _within(node: Node, path: str) -> bool:
-    while node is not None:
-        if node.path == path and node.tag not in INLINE:
-            return True
-        node = node.parent
-    return False
-
-
-def _inside(node: Node, ancestor: Node) -> bool:
-    while node is not None:
-        if node is ancestor:
-            return True
-        node = node.parent
-    return False
+def _under(blocks: list[Block], chosen: Callable[[Node], bool]) -> list[Block]:
+    """Blocks in or under a chosen element; every element is asked once."""
+    known: dict[int, bool] = {}
+    out = []
+    for block in blocks:
+        node, climbed = block.node, []
+        while node is not None and id(node) not in known and not chosen(node):
+            climbed.append(id(node))
+            node = node.parent
+        found = node is not None and known.get(id(node), True)
+        if node is not None:
+            known[id(node)] = found
+        known.update(dict.fromkeys(climbed, found))
+        if found:
+            out.append(block)
+    return out
 
 
 def main_text(html: str | None, path: str | None = None) -> str:
     """Text under the elements of the path, or else of the best container."""
     blocks = blocks_of(html or "")
-    chosen = [b for b in blocks if _within(b.node, path)] if path is not None else []
+    chosen: list[Block] = []
+    if path is not None:
+        wanted = _digest(path).value
+        chosen = _under(blocks, lambda n: n.digest.value == wanted and n.tag not in INLINE)
     if not chosen:
         best = best_container(blocks)
-        chosen = [b for b in blocks if best is not None and _inside(b.node, best)]
+        chosen = _under(blocks, lambda n: n is best) if best is not None else []
     return " ".join(t for t in (b.text() for b in chosen) if t)
 
 
@@ -252,7 +299,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             best = best_container(blocks_of(html or ""))
             if best is not None:
-                votes[host, best.path] += 1
+                votes[host, path_of(best)] += 1
         if votes:
             yield pa.RecordBatch.from_pydict({"host": [k[0] for k in votes], "path": [k[1] for k in votes], "votes": list(votes.values())})
 
