@@ -20,7 +20,7 @@ def test_broken_and_deep_pages_take_linear_time(html):
 def test_paths_are_spelled_and_found():
     html = "<body><div class='b2 a1'><p>one</p><b>two</b></div><div class='c'><p>three</p></div></body>"
     best = best_container(blocks_of(html))
-    assert path_of(best) == ">body"
+    assert path_of(best) == ">body>div.a b"
     assert main_text(html, ">body>div.a b") == "one two" and main_text(html, ">body>div.c>p") == "three"
 
 
