@@ -1,8 +1,10 @@
 """Token ids of public tokenizers, with a memo of recurring pieces.
 
 The vocabularies split texts at spaces before they merge anything, so a text's
-ids are the ids of its pieces in a row.  Each task encodes a piece once with
-the tokenizers library and keeps its ids in a memo of bounded size.
+ids are the ids of its pieces in a row.  Texts are cut together by Arrow; each
+task encodes a different piece once with the tokenizers library and keeps its
+ids in a memo of bounded size.  A piece that holds the string of an added token
+is encoded by itself, as the library does it.
 """
 
 from __future__ import annotations
@@ -12,14 +14,14 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MEMO_PIECES = 800_000
-_TOGETHER = 128  # texts
-_ROW_PIECES = 20_000
+from .units import cut, gathered_ids
 
-#: A space beside other white space: only then can a cut before a space change the ids.
-_BESIDE = re.compile(r"\s | \s")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+MEMO_PIECES = 400_000
+_TOGETHER_BYTES = 4 << 20
+_ROW_PIECES = 20_000
 
 
 class Encoder:
@@ -31,39 +33,61 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.holds_added = re.compile("|".join(map(re.escape, added))).search if added else lambda piece: None
         self.words_only = words_only
         self.memo_pieces = memo_pieces
+        # pieces used since half the memo filled up, and those used before
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        if self.words_only:
-            return text.replace("\n", " ").split(" ")
-        if _BESIDE.search(text):
-            return _CUT.split(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + r for r in rest]]
+    def _pieces(self, texts: pa.Array) -> tuple[list[np.ndarray], list[str]]:
+        """(places of each text's pieces, different pieces)."""
+        if not self.words_only:
+            return cut(texts, led=False)
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = parts.flatten().dictionary_encode()
+        edges = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        return np.split(words.indices.to_numpy(zero_copy_only=False), edges[:-1]), words.dictionary.to_pylist()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
         out: list[bytes] = []
-        for at in range(0, len(texts), _TOGETHER):
-            cut = [self.pieces(t) for t in texts[at : at + _TOGETHER]]
-            if len(self.memo) > self.memo_pieces:
-                self.memo.clear()
-            missing = set().union(*cut).difference(self.memo)
-            if missing:
-                self._learn(list(missing))
-            memo = self.memo
-            out.extend([b"".join([memo[p] for p in pieces]) for pieces in cut])
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= _TOGETHER_BYTES):
+                size += len(texts[to])
+                to += 1
+            out.extend(self._encode(texts[at:to]))
+            at = to
         return out
 
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        rows, pieces = self._pieces(pa.array(texts, pa.string()))
+        if len(self.memo) > self.memo_pieces // 2:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        missing = []
+        for piece in pieces:
+            if piece not in memo:
+                if piece in older:
+                    memo[piece] = older[piece]
+                else:
+                    missing.append(piece)
+        if missing:
+            self._learn(missing)
+        ids = [memo[p] for p in pieces]
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)]).astype(np.int64)
+        return [gathered_ids(flat, edges, row).tobytes() for row in rows]
+
     def _learn(self, missing: list[str]) -> None:
         """Encode new pieces: in a row as one text, where spaces keep them apart, else one by one."""
         if self.words_only:
-            row = [p for p in missing if p and not p.isspace()]
+            row = [p for p in missing if p and not p.isspace() and not self.holds_added(p)]
         else:
-            row = [p for p in missing if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
+            row = [p for p in missing if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() and not self.holds_added(p)]
         for at in range(0, len(row), _ROW_PIECES):
             part = row[at : at + _ROW_PIECES]
             gap = 1 if self.words_only else 0

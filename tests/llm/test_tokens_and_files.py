@@ -9,12 +9,11 @@ from tokenizers import Tokenizer
 from flowlens.llm import order, packing, pieces, sharding, tokens, wavelet
 
 SF = "/root/testdata/sf0.001"
-ODD = ["", " ", "  a", "a ", "a  b\n\n c", "\n", "x \n y", "don't  Stop, É. <|endoftext|> ΑΣ ΣΑΣ é", "1 22 3,4 _a_ a..b ... ", "\t\ta b   c\x1cd \x1c e"]
+ODD = ["", " ", "  a", "a ", "a  b\n\n c", "\n", "x \n y", "don't  Stop, É. <|endoftext|> ΑΣ ΣΑΣ é", "1 22 3,4 _a_ a..b ... ", "a<|endoftext|>b <|startoftext|><|endoftext|>c <|ENDOFTEXT|>", "<|endoftext|>", "x\n<|endoftext|> \n y", "\t\ta b   c\x1cd \x1c e"]
 
 
 def _plain(name, texts):
     tokenizer = Tokenizer.from_file(tokens.vocabulary(name))
-    tokenizer.encode_special_tokens = True
     return [e.ids for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
