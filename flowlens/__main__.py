@@ -36,7 +36,7 @@ def _write_reports(reports: dict[str, DataFrame], path: str) -> None:
 
 def prepare(spark: SparkSession, kind: str, source: str, output: str, drop_duplicates: bool = False, fit_scope: str = "all") -> None:
     if kind == "fine":
-        table = prepare_fine(load_fine_flows(spark, source).drop(SOURCE_FILE))
+        table = prepare_fine(load_fine_flows(spark, source).drop(SOURCE_FILE), fit_scope=fit_scope)
         classes = {"class_names": CLASSES_FINE}
         tables.write_splits(table.data, f"{output}/splits", table.features)
         _write_reports(fine_checks(table, CLASSES_FINE), f"{output}/checks")
@@ -99,7 +99,7 @@ def main() -> None:
         c.add_argument("--output", required=True)
         if name == "prepare":
             c.add_argument("--drop-duplicates", action="store_true", help="coarse: keep one of each set of equal rows")
-            c.add_argument("--fit-scope", choices=["all", "train"], default="all", help="coarse: rows that medians and log minimums are fitted on")
+            c.add_argument("--fit-scope", choices=["all", "train"], default="all", help="rows that medians and log minimums are fitted on")
         if name == "train":
             c.add_argument("--model", choices=["logistic", "forest"], default="logistic")
     for name in ("score", "health"):

@@ -30,10 +30,16 @@ def log_minimums(shifts: DataFrame) -> dict[str, float]:
 
 
 def skew_log(c: Column, minimum: float | None) -> Column:
-    """log1p; a column with negative values is first moved so that it starts at 1."""
-    if minimum is not None and minimum < 0:
-        return F.log1p(c - F.lit(minimum) + F.lit(1.0))
-    return F.log1p(c)
+    """log1p; a column with negative values is first moved so that it starts at 1.
+
+    A value below the range that was fitted counts as its lower end: the fitted
+    minimum, or 0 where that is not negative.
+    """
+    low = min(minimum or 0.0, 0.0)
+    held = F.when(c < F.lit(low), F.lit(low)).otherwise(c)
+    if low < 0:
+        return F.log1p(held - F.lit(low) + F.lit(1.0))
+    return F.log1p(held)
 
 
 def apply_log(df: DataFrame, minimums: dict[str, float]) -> DataFrame:

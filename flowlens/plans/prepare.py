@@ -54,21 +54,30 @@ def _indexed(df: DataFrame, row_id: str | None, name: str) -> tuple[DataFrame, s
 
 def prepare_fine(
     raw: DataFrame, row_id: str | None = None, features: list[str] | None = None,
-    target: int = TARGET_TOTAL, floor: int = MIN_SAMPLES, cap: int = MAX_CAP, seed: int = SEED,
+    target: int = TARGET_TOTAL, floor: int = MIN_SAMPLES, cap: int = MAX_CAP, seed: int = SEED, fit_scope: str = "all",
 ) -> Prepared:
     """Clean, balance the classes, split 80/10/10 by class and scale.
 
     ``raw`` holds the features and the label (rows without one are dropped).
+    ``fit_scope="train"`` fits medians, and finds constant features, on the
+    training rows of the sample only; the default uses all rows.
     """
+    if fit_scope not in ("all", "train"):
+        raise ValueError("fit_scope is all or train")
     stored, row_id = _indexed(raw.where(F.col(LABEL).isNotNull()), row_id, "raw")
     features = features or split_features_label(stored, [LABEL, row_id])[0]
     narrow = stored.select(row_id, LABEL, *[F.col(ident(f)) for f in features])
-    cleaned = clean(narrow, features)
+    if fit_scope == "all":
+        cleaned = clean(narrow, features)
+        # At most cap rows per class from here on.
+        sample = materialize(balanced_sample(cleaned.data, row_id, LABEL, target, floor, cap, seed), "balanced")
+        split = materialize(stratified_split(sample, row_id, LABEL, seed=seed), "split", [SPLIT])
+    else:
+        sample = materialize(balanced_sample(narrow, row_id, LABEL, target, floor, cap, seed), "balanced")
+        dealt = materialize(stratified_split(sample, row_id, LABEL, seed=seed), "dealt", [SPLIT])
+        cleaned = clean(dealt, features, fit_on=dealt.where(F.col(SPLIT) == "train"))
+        split = materialize(cleaned.data, "split", [SPLIT])
     kept = [f for f in features if f not in cleaned.constants]
-    balanced = balanced_sample(cleaned.data, row_id, LABEL, target, floor, cap, seed)
-    # At most cap rows per class from here on.
-    sample = materialize(balanced, "balanced")
-    split = materialize(stratified_split(sample, row_id, LABEL, seed=seed), "split", [SPLIT])
     train = split.where(F.col(SPLIT) == "train")
     scaler = scaler_values(fit_scaler(train, kept))
     prep = Preprocessing(kept, scaler)

@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import math
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +116,24 @@ def test_windows_close_once_and_late_rows_are_kept(spark, tmp_path):
     assert facts == {0: (3, 0), 1: (3, 1), 2: (3, 1)}
     # what is left open is the last window only
     assert [minute(r["window_start"]) for r in spark.read.parquet(f"{out}/open/batch=2").collect()] == [360]
+
+
+def test_values_below_the_fitted_range_count_as_its_lower_end(spark):
+    from flowlens.operators.transforms import apply_log
+
+    df = spark.createDataFrame([(-9.0, -9.0), (-2.0, 0.0), (1.0, 3.0), (None, None)], "a double, b double")
+    rows = apply_log(df, {"a": -2.0, "b": 1.0}).collect()
+    assert [r["a"] for r in rows[:3]] == pytest.approx([math.log(2), math.log(2), math.log(5)]) and rows[3]["a"] is None
+    assert [r["b"] for r in rows[:3]] == pytest.approx([0.0, 0.0, math.log(4)]) and rows[3]["b"] is None
+
+
+def test_fine_medians_of_training_rows(spark):
+    from flowlens.plans.prepare import prepare_fine
+
+    rows = [(i, "ab"[i % 2], None if i % 5 == 0 else float(i), float(i % 3)) for i in range(400)]
+    raw = spark.createDataFrame(rows, "id long, Label string, x double, y double")
+    every, train = (prepare_fine(raw, "id", target=400, floor=1, cap=400, fit_scope=s) for s in ("all", "train"))
+    kept = [r["x"] for r in raw.join(train.data.where("split = 'train'").select("id"), "id").collect() if r["x"] is not None]
+    assert train.medians["x"] == statistics.median(kept)
+    assert every.medians["x"] == statistics.median(r[2] for r in rows if r[2] is not None)
+    assert sorted(r["id"] for r in every.data.where("split = 'test'").collect()) == sorted(r["id"] for r in train.data.where("split = 'test'").collect())
