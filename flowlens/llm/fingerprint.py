@@ -78,42 +78,74 @@ def _sampled_times(walk: int, end: int) -> np.ndarray:
     return np.where(at >= firsts[:-1], keys[np.maximum(at, 0)] & ((1 << 40) - 1), -1)
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def _walked(points: list[np.ndarray], start: np.ndarray, walk: int) -> np.ndarray:
+    """Arrival times (text x place, the start first) of texts in the order of falling length, from the given times on."""
+    longest = len(points[0]) if points else 0
+    chars = np.zeros((longest, len(points)), dtype=np.int32)
+    for column, p in enumerate(points):
+        chars[: len(p), column] = (p * np.uint32(0x9E3779B1) >> np.uint32(26)).astype(np.int32)
+    # texts longer than each place
+    live = np.searchsorted(-np.array([len(p) for p in points], dtype=np.int64), -np.arange(longest), side="left")
+    stay = _stay(walk)
+    arrival = np.zeros((longest + 1, len(points)), dtype=np.int32)
+    now = start.astype(np.int32)
+    arrival[0] = now
+    for place in range(longest):
+        n = live[place]
+        head = now[:n]
+        head += stay[(head & (_PERIOD - 1)) * _CLASSES + chars[place, :n]]
+        arrival[place + 1] = now
+    return np.ascontiguousarray(arrival.T)
+
+
+def _sampled(out: np.ndarray, walk: int, points: np.ndarray, arrival: np.ndarray) -> None:
+    """The bytes of one walk: what stands at the sampled times."""
+    size = len(points)
+    times = _sampled_times(walk, int(arrival[size]))
+    has = np.flatnonzero(times >= 0)
+    place = np.searchsorted(arrival[:size], times[has], side="right") - 1
+    value = times[has].astype(np.uint64)
+    for k in range(SPAN):
+        inside = place + k < size
+        value = value * np.uint64(0xD1342543DE82EF95) + np.where(inside, points[np.minimum(place + k, size - 1)], 0).astype(np.uint64)
+    out[walk * SAMPLES + has] = (mix(value) % np.uint64(255)).astype(np.uint8) + 1
+
+
 def fingerprints(texts: list[str]) -> list[bytes]:
     """WALKS * SAMPLES bytes for each text; a byte is 0 where the text is too short for the bin."""
-    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts]
-    out = np.full((len(texts), WALKS * SAMPLES), _EMPTY, dtype=np.uint8)
+    return fingerprints_with_edits(texts, [None] * len(texts))[0]
+
+
+def fingerprints_with_edits(texts: list[str], edits: list[tuple[int, str] | None]) -> tuple[list[bytes], list[bytes]]:
+    """Fingerprints of texts, and of the texts that keep so many first characters and go on otherwise.
+
+    An edited text's walk starts where its own text's walk stands at the cut.
+    """
+    points = [_points(t) for t in texts]
+    out, edited = (np.full((len(texts), WALKS * SAMPLES), _EMPTY, dtype=np.uint8) for _ in range(2))
     order = sorted((i for i in range(len(points)) if len(points[i])), key=lambda i: -len(points[i]))
     at = 0
     while at < len(order):
-        longest = len(points[order[at]])
-        group = order[at : at + max(1, _CELLS // longest)]
+        group = order[at : at + max(1, _CELLS // len(points[order[at]]))]
         at += len(group)
-        sizes = np.array([len(points[i]) for i in group])
-        chars = np.zeros((longest, len(group)), dtype=np.int32)
-        for column, i in enumerate(group):
-            chars[: len(points[i]), column] = (points[i] * np.uint32(0x9E3779B1) >> np.uint32(26)).astype(np.int32)
-        live = np.searchsorted(-sizes, -np.arange(longest), side="left")  # texts longer than each place
+        tails = {i: (column, edits[i][0], _points(edits[i][1])) for column, i in enumerate(group) if edits[i] is not None}
+        later = sorted(tails, key=lambda i: -len(tails[i][2]))
         for walk in range(WALKS):
-            stay = _stay(walk)
-            arrival = np.zeros((longest + 1, len(group)), dtype=np.int32)
-            now = np.zeros(len(group), dtype=np.int32)
-            for place in range(longest):
-                n = live[place]
-                head = now[:n]
-                head += stay[(head & (_PERIOD - 1)) * _CLASSES + chars[place, :n]]
-                arrival[place + 1] = now
-            turned = np.ascontiguousarray(arrival.T)
+            arrival = _walked([points[i] for i in group], np.zeros(len(group)), walk)
             for column, i in enumerate(group):
-                size = int(sizes[column])
-                times = _sampled_times(walk, int(turned[column, size]))
-                has = np.flatnonzero(times >= 0)
-                place = np.searchsorted(turned[column, :size], times[has], side="right") - 1
-                value = times[has].astype(np.uint64)
-                for k in range(SPAN):
-                    inside = place + k < size
-                    value = value * np.uint64(0xD1342543DE82EF95) + np.where(inside, points[i][np.minimum(place + k, size - 1)], 0).astype(np.uint64)
-                out[i, walk * SAMPLES + has] = (mix(value) % np.uint64(255)).astype(np.uint8) + 1
-    return [row.tobytes() for row in out]
+                _sampled(out[i], walk, points[i], arrival[column])
+            begin = np.array([arrival[tails[i][0], tails[i][1]] for i in later], dtype=np.int32)
+            beyond = _walked([tails[i][2] for i in later], begin, walk)
+            for row, i in enumerate(later):
+                column, kept, tail = tails[i]
+                if kept + len(tail):
+                    whole = np.concatenate([arrival[column, : kept + 1], beyond[row, 1 : len(tail) + 1]])
+                    _sampled(edited[i], walk, np.concatenate([points[i][:kept], tail]), whole)
+    return [row.tobytes() for row in out], [row.tobytes() for row in edited]
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -203,31 +235,35 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of bucket, own rows before guests, descending id; the first guest follows the bucket's last row."""
     held: list[tuple] = []  # the last own row of the bucket so far: (bucket, id, text, fingerprint)
 
-    def result(rows: list[tuple], following: list[tuple[str, bytes]]) -> pa.RecordBatch:
-        edited = [edited_text(row[2], text) for row, (text, _) in zip(rows, following)]
-        prints = fingerprints(edited)
+    def result(done: list[tuple[tuple, str, bytes, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({
-            "id": pa.array([r[1] for r in rows], pa.int64()), "n_chars": [len(r[2]) for r in rows],
-            "edited_sha256": [hashlib.sha256(e.encode()).hexdigest() for e in edited], "fingerprint": [r[3].hex() for r in rows],
-            "edited_fingerprint": [p.hex() for p in prints], "near_edited": [likeness(r[3], p) for r, p in zip(rows, prints)],
-            "near_next": [likeness(r[3], f) for r, (_, f) in zip(rows, following)],
+            "id": pa.array([r[1] for r, *_ in done], pa.int64()), "n_chars": [len(r[2]) for r, *_ in done],
+            "edited_sha256": [hashlib.sha256(text.encode()).hexdigest() for _, text, _, _ in done], "fingerprint": [r[3].hex() for r, *_ in done],
+            "edited_fingerprint": [e.hex() for _, _, e, _ in done], "near_edited": [likeness(r[3], e) for r, _, e, _ in done],
+            "near_next": [likeness(r[3], f) for r, _, _, f in done],
         })
 
     for whole in batches:
         for start in range(0, whole.num_rows, 1000):
             batch = whole.slice(start, 1000)
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            rows = list(zip(batch.column("bucket").to_pylist(), batch.column("id").to_pylist(), texts, fingerprints(texts), batch.column("guest").to_pylist()))
-            done, following = [], []
-            for row in rows:
+            buckets, guests = batch.column("bucket").to_pylist(), batch.column("guest").to_pylist()
+            # own rows with their follower in the batch: the edit is known, and walks on from the own text's walk
+            known = [not guests[k] and k + 1 < len(texts) and buckets[k + 1] == buckets[k] for k in range(len(texts))]
+            edits = [(len(t) - len(t) // 2, texts[k + 1][: len(t) // 2]) if known[k] else None for k, t in enumerate(texts)]
+            prints, edited = fingerprints_with_edits(texts, edits)
+            rows = list(zip(buckets, batch.column("id").to_pylist(), texts, prints))
+            done = []
+            for k, row in enumerate(rows):
                 if held and held[0][0] == row[0]:
-                    done.append(held[0])
-                    following.append((row[2], row[3]))
+                    text = edited_text(held[0][2], row[2])
+                    own = edited[k - 1] if k and known[k - 1] else fingerprints([text])[0]
+                    done.append((held[0], text, own, row[3]))
                     held = []
-                if not row[4]:
+                if not guests[k]:
                     held = [row]
             if done:
-                yield result(done, following)
+                yield result(done)
 
 
 def edit_comparison(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
