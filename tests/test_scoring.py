@@ -35,7 +35,7 @@ def test_linear_model_matches_numpy(spark, tmp_path):
     model.save(str(tmp_path / "linear"))
     again = type(model).load(str(tmp_path / "linear"))
     np.testing.assert_array_equal(again.coefficientMatrix.toArray(), w)
-    assert df.where("i < 0").select(p.alias("p")).collect() == []
+    assert apply_model(vectors.where("i < 0"), model, "v", "fine").collect() == []
 
 
 def test_ties_and_unknown_classes(spark):
