@@ -19,7 +19,7 @@ from ..plans.score import score_json
 from ..plans.train import coarse_search_rows, evaluate, train_coarse_logistic, train_coarse_minibatch, train_fine_logistic
 from ..schema import (
     BINARY_CLASSES, BINARY_LABEL, CLASSES_FINE, FAMILIES, FAMILY_LABEL, FEATURES_COARSE, FEATURES_FINE, LABEL, SPLIT,
-    TUNE_SUBSET_ROWS, ident,
+    MAX_CAP, MIN_SAMPLES, TARGET_TOTAL, TUNE_SUBSET_ROWS, ident,
 )
 from ..sources import tables
 from ..streaming import health as stream_health
@@ -32,7 +32,7 @@ from .common import (
     json_folder, probability_ctes, scaler_cte,
 )
 from .registry import query, shared
-from .sqltext import over_flows, quoted, text
+from .sqltext import over_flows, quoted, stacked, text
 
 #: Registered forests are fitted on at most this many stratified rows, as many as a search reads.
 FOREST_ROWS = TUNE_SUBSET_ROWS
@@ -411,6 +411,49 @@ def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.top_features(forest_importance(spark, sf_dir))
 
 
+_FINE_SIZES = f"""fine_plan AS (SELECT least(available, greatest({MIN_SAMPLES}, least({MAX_CAP},
+  CAST(round_even(available * (CAST({TARGET_TOTAL} AS DOUBLE) / CAST(sum(available) OVER () AS DOUBLE)), 0) AS BIGINT)))) AS cap
+  FROM (SELECT "Label", count(*) AS available FROM flows GROUP BY "Label")),
+fine_sizes AS (SELECT n, CAST(ceil(0.2 * n) AS BIGINT) AS held, CAST(ceil(0.5 * ceil(0.2 * n)) AS BIGINT) AS test FROM (SELECT CAST(sum(cap) AS BIGINT) AS n FROM fine_plan))"""
+
+
+@query("m11_scored_invariants", over_flows("""
+SELECT 'train' AS split, n - held AS rows, n - held AS row_ids, true AS known_classes FROM fine_sizes UNION ALL SELECT 'val', held - test, held - test, true FROM fine_sizes
+UNION ALL SELECT 'test', test, test, true FROM fine_sizes""", _FINE_SIZES))
+def scored_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the sample is scored once, in its split, as one of the known classes."""
+    known = F.col("predicted").isin(CLASSES_FINE) & F.col("truth").isin(CLASSES_FINE)
+    return scored_splits(spark, sf_dir).groupBy(SPLIT).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(ROW_ID).alias("row_ids"), F.bool_and(known).alias("known_classes"))
+
+
+_VARYING = "varying AS (SELECT feature FROM (" + stacked(FEATURES_FINE, "clean", {"low": "min({c})", "high": "max({c})"}) + ") WHERE low <> high)"
+
+
+@query("a30_a31_importance_invariants", over_flows("""
+SELECT model, feature, true AS valid, true AS complete FROM varying, (VALUES ('forest'), ('logistic')) t(model)""", clean_cte(), _VARYING))
+def importance_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature that varies has an importance of its own: not negative, and in a forest adding up to 1."""
+    out = None
+    for name, table, whole in (("forest", forest_importance(spark, sf_dir), 1.0), ("logistic", logistic_importance(spark, sf_dir), None)):
+        total = F.sum("importance").over(Window.partitionBy())  # a row per feature
+        complete = total > 0 if whole is None else F.abs(total - whole) < 1e-9
+        part = table.select(F.lit(name).alias("model"), "feature", (F.col("importance") >= 0).alias("valid"), complete.alias("complete"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("o08_top_invariants", "SELECT CAST(range AS INTEGER) AS place, true AS in_order, true AS largest FROM range(1, 21)")
+def top_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 features of most importance, largest first, none left out above the last."""
+    every, top = forest_importance(spark, sf_dir), top_features(spark, sf_dir)
+    ranked = every.select("feature", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")).alias("place"))
+    listed = top.select("feature", F.col("importance").alias("kept"), F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")).alias("at"))
+    before = F.lag("kept").over(Window.orderBy("at"))
+    return listed.join(ranked, "feature").select(
+        F.col("at").alias("place"), (before.isNull() | (before >= F.col("kept"))).alias("in_order"), (F.col("place") == F.col("at")).alias("largest"))
+
+
 @query("s10_saved_bundle")
 def saved_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Save the fine model with its transform, load both and score with them."""
