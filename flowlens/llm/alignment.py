@@ -37,6 +37,7 @@ from ..workspace import discard, materialize
 from .batches import bounded_batches, gathered
 from .perfect import PerfectHash, chunked, number_of_shards, shard_column, shards
 from .units import cut, gathered_ids
+from .vocabularies import byte_values, vocabulary_ranks
 
 FIRST = "byte_bpe_50k.json"
 SECOND = "piece_bpe_32k.model"
@@ -53,13 +54,6 @@ _FAN = 16
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def _byte_values() -> dict[str, int]:
-    """Byte of each character of a byte-level vocabulary: printable ones stand for themselves, the others follow from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Units:
     """Alignments of some units: numbers, texts of their groups, and their pairs with the times each is linked."""
 
@@ -87,27 +81,13 @@ class Units:
         self._pairs = []
 
 
-def _ranks(described: dict) -> dict[bytes, int] | None:
-    """Ranks of a byte-level vocabulary whose ids follow the order of its merges; another library encodes it several times faster."""
-    cutter = described["pre_tokenizer"] or {}
-    if described["model"].get("type") != "BPE" or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True) or described["normalizer"]:
-        return None
-    values, vocabulary = _byte_values(), described["model"]["vocab"]
-    added = {t["content"] for t in described["added_tokens"]}
-    merges = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in described["model"]["merges"]]
-    plain = {bytes(values[c] for c in t): i for t, i in vocabulary.items() if t not in added}
-    alone = sorted(i for t, i in plain.items() if len(t) == 1)
-    in_order = merges == sorted(merges) and len(alone) == 256 and alone[-1] < min(merges, default=256) and len(plain) == 256 + len(set(merges))
-    return plain if in_order else None
-
-
 class Aligner:
     def __init__(self, first: str, second: str):
         import sentencepiece
 
         with open(first, encoding="utf-8") as file:
             described = json.load(file)
-        ranks = _ranks(described)
+        ranks = vocabulary_ranks(described)
         if ranks:
             import tiktoken
 
@@ -120,7 +100,7 @@ class Aligner:
             library.encode_special_tokens = True
             self._encode_a = lambda texts: [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
-        values = _byte_values()
+        values = byte_values()
         by_id = {i: t for t, i in described["model"]["vocab"].items()} | {t["id"]: t["content"] for t in described["added_tokens"]}
         # an added token's entry is plain text; it is never an id of a text here
         self.a_bytes = [bytes(values.get(c, 0) for c in by_id.get(i, "")) for i in range(max(by_id) + 1)]
