@@ -11,10 +11,10 @@ from ..operators.scoring import score_fine_linear
 from ..plans.flows import ROW_ID, flows
 from ..schema import CLASSES_FINE, FEATURES_FINE, LABEL, SPLIT, ident
 from ..sources import tables
-from ..sources.tables import move_single_file
+from ..sources.tables import move_ordered_files
 from ..sources.csv_files import load_coarse_flows, load_fine_flows, read_scoring_csv
 from ..sources.records import read_records, record_features
-from ..workspace import new_path
+from ..workspace import discard, materialize, new_path
 from .aggregates import CM_CTE, REPORT_CTE
 from .common import (
     clean_cte, csv_folder, feature_profile, fine_preprocessing, fixed_weights, json_folder, profile_sql,
@@ -50,18 +50,24 @@ def scoring_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_profile(sanitize(rows, FEATURES_FINE, FINE_LABELS).data, FEATURES_FINE)
 
 
-def _ordered_parts(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of three CSV parts of unequal size, each in the order of its flow ids."""
+#: Rows of a file of ordered parts: more rows make more files, not larger ones.
+_PART_ROWS = 250_000
+
+
+def _ordered_parts(spark: SparkSession, sf_dir: str, part_rows: int = _PART_ROWS) -> str:
+    """A folder of three CSV parts of unequal size, each in the order of its flow ids, in files of about ``part_rows`` rows."""
 
     def build() -> str:
         folder = new_path(spark, "parts") + ".csv"
-        df = flows(spark, sf_dir)
-        for name, condition in (("a.csv", "l_linenumber = 1"), ("b.csv", "l_linenumber > 2"), ("c.csv", "l_linenumber = 2 AND l_orderkey % 5 = 0")):
-            columns = [F.col(ROW_ID), *[F.col(ident(f)) for f in FEATURES_FINE]]
-            move_single_file(df.where(condition).select(*columns).orderBy(ROW_ID).coalesce(1), f"{folder}/{name}")
+        df = materialize(flows(spark, sf_dir).select(ROW_ID, "l_linenumber", "l_orderkey", *[F.col(ident(f)) for f in FEATURES_FINE]), "rows")
+        for name, condition in (("a", "l_linenumber = 1"), ("b", "l_linenumber > 2"), ("c", "l_linenumber = 2 AND l_orderkey % 5 = 0")):
+            part = df.where(condition).drop("l_linenumber", "l_orderkey")
+            files = max(1, -(-part.count() // part_rows))
+            move_ordered_files(part.repartitionByRange(files, ROW_ID).sortWithinPartitions(ROW_ID), f"{folder}/{name}")
+        discard(df)
         return folder
 
-    return shared(spark, sf_dir, "ordered parts", build)
+    return shared(spark, sf_dir, f"ordered parts of {part_rows}", build)
 
 
 @query("o10_file_index", over_flows("""
