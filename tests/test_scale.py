@@ -5,6 +5,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
+from flowlens.functions.probabilities import top_classes
 from flowlens.operators import cleaning
 from flowlens.operators.linear_training import FILE_ROWS, files_of, stored_batches
 from flowlens.queries import common, scores, storage
@@ -80,3 +81,37 @@ def test_a_batch_has_a_file_for_every_core(spark):
     assert batches.batches == 2
     assert len([f for f in batches.data.where("batch = 0").inputFiles()]) >= min(cores, 40_000 // 8_192)
     assert files_of(10 * FILE_ROWS, 4) == 10 and files_of(100, 8) == 1
+
+
+def _write_flow_tables(spark, folder):
+    lines = spark.range(60).selectExpr(
+        "id AS l_orderkey", "id % 7 AS l_partkey", "id % 3 AS l_suppkey", "CAST(id % 4 + 1 AS INT) AS l_linenumber", "CAST(id + 1 AS DOUBLE) AS l_quantity",
+        "id * 10.5D AS l_extendedprice", "(id % 5) / 100D AS l_discount", "(id % 3) / 100D AS l_tax", "DATE'2020-01-01' AS l_shipdate")
+    lines.write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(60).selectExpr("id AS o_orderkey", "id * 3D AS o_totalprice").write.parquet(f"{folder}/orders.parquet")
+    spark.range(7).selectExpr("id AS p_partkey", "CAST(id AS INT) AS p_size", "id * 2D AS p_retailprice").write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_top_classes_run_the_model_once(spark, tmp_path):
+    found = scores.top_classes(spark, _write_flow_tables(spark, tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("UDF(" in line for line in plan.splitlines()) == 1 and "size(" not in plan.replace("size(fine_proba", "")
+    assert found.count() == 180 and found.groupBy("flow_id").agg(F.min("probability").alias("low")).where("low IS NULL").isEmpty()
+
+
+def test_top_classes_of_tied_and_odd_probabilities(spark):
+    nan = float("nan")
+    given = [[0.1, 0.4, 0.3, 0.2], [0.4, 0.1, 0.4, 0.1], [0.25] * 4, [0.1, 0.2, 0.2, 0.5], [0.3, 0.1, 0.3, 0.3], [nan, 0.5, nan, 0.1], [0.0, 0.2, 0.0, 0.0], [0.5, None, 0.2, 0.1]]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(given)] + [(99, None)], "id int, p array<double>")
+    found = {r["id"]: r["top"] and [(t["class"], t["probability"]) for t in r["top"]] for r in rows.select("id", top_classes(F.col("p"), list("abcd")).alias("top")).collect()}
+    assert found.pop(99) is None
+
+    def rank(pair):
+        return (pair[1] is not None, pair[1] != pair[1], 0 if pair[1] is None or pair[1] != pair[1] else pair[1], pair[0])
+
+    for i, p in enumerate(given):
+        wanted = sorted(zip("abcd", p), key=rank, reverse=True)[:3]
+        assert str(found[i]) == str(wanted), p
+    two = spark.createDataFrame([([0.3, 0.7],)], "p array<double>").select(top_classes(F.col("p"), ["x", "y"]).alias("top")).first()["top"]
+    assert [t["class"] for t in two] == ["y", "x"]
