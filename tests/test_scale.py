@@ -115,3 +115,30 @@ def test_top_classes_of_tied_and_odd_probabilities(spark):
         assert str(found[i]) == str(wanted), p
     two = spark.createDataFrame([([0.3, 0.7],)], "p array<double>").select(top_classes(F.col("p"), ["x", "y"]).alias("top")).first()["top"]
     assert [t["class"] for t in two] == ["y", "x"]
+
+
+def test_rejected_lines_are_found_before_values_are_parsed(spark):
+    lines = spark.createDataFrame([('{"Rate": 1}',), ('{"Rate": ',), ('{"foo": 1}',), ("[1]",), ('{"Rate": "2d", "AVG": "0x1p3"}',)], "value string")
+    rows = record_features(lines, ["Rate", "AVG"])
+    plan = rows.where("rejected")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("from_json") < plan.index("Filter")
+    assert sorted(r["line"] for r in rows.where("rejected").collect()) == sorted(['{"Rate": ', '{"foo": 1}', "[1]"])
+    good = {r["Rate"]: (r["AVG"], r["input_adjustments"]["invalid_values_replaced"]) for r in rows.where("NOT rejected").collect()}
+    assert good == {1.0: (None, 1), None: (None, 2)}
+
+
+def test_mixed_lines_read_the_flows_once(spark, tmp_path, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(i):
+        read.add(1)
+        return f"f{i}"
+
+    table = spark.range(1, 5).select(
+        counted.asNondeterministic()("id").alias("flow_id"), F.col("id").cast("int").alias("l_linenumber"), *[F.lit(1.5).alias(f) for f in FEATURES_FINE])
+    monkeypatch.setattr(scores, "flows", lambda spark, sf_dir: table)
+    found = sorted(r["value"] for r in spark.read.text(scores._lines_folder(spark, str(tmp_path))).collect())
+    assert read.value == 4
+    assert len(found) == 6 and '{"Rate": f1' in found and '{"foo":"f2"}' in found
+    assert [v for v in found if v.startswith('{"flow_id":"f3"')]
