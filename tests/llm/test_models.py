@@ -1,4 +1,6 @@
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import helpers
 import numpy as np
@@ -78,3 +80,74 @@ def test_every_gram_of_the_training_rows_is_evidence(spark):
     expected = {w[max(0, e - 6) : e] for w in words for e in range(2, len(w) + 1)}
     assert len(expected) > 1 << 18
     assert grams.count() == len(expected) and histories.count() == len({g[:-1] for g in expected})
+
+
+def _plain_evidence(texts, labels, order=6, discount=0.75):
+    """Kneser-Ney by its definition: evidence of a word under the models of both classes."""
+
+    def grams(text):
+        for word in (text or "").lower().split():
+            m = "\x02" + word.strip(toxicity._STRIP) + "\x03"
+            yield from (m[max(0, e - order) : e] for e in range(2, len(m) + 1))
+
+    known = [Counter(g for t, y in zip(texts, labels) if y == k for g in grams(t)) for k in (1, 0)]
+    sets = [{g for t in texts for g in grams(t)}]
+    sets = {order: {g for g in sets[0] if len(g) == order}, **{n: {g for g in sets[0] if len(g) == n} for n in range(1, order)}}
+    left = {}
+    for n in range(order - 1, 0, -1):
+        left[n] = Counter(g[1:] for g in sets[n + 1])
+        sets[n] |= set(left[n])
+
+    def shared(g):
+        same = {x: c for x, c in left[len(g)].items() if x[:-1] == g[:-1]}
+        lower = shared(g[1:]) if len(g) > 1 else 1 / (len(same) + 1)
+        return (left[len(g)][g] - discount) / sum(same.values()) + discount * len(same) / sum(same.values()) * lower
+
+    def way(k, history):
+        same = [c for x, c in known[k].items() if x[:-1] == history]
+        return (discount * len(same) / sum(same), sum(same)) if same else (1.0, 0)
+
+    def value(g):
+        ways = [way(k, g[:-1]) for k in (0, 1)]
+        if not (known[0][g] or known[1][g]):
+            return np.log(ways[0][0] / ways[1][0])
+        chances = [((known[k][g] - discount) / ways[k][1] if known[k][g] else 0) + ways[k][0] * shared(g[1:]) for k in (0, 1)]
+        return np.log(chances[0] / chances[1])
+
+    return grams, value
+
+
+def test_evidence_is_plain_kneser_ney(spark):
+    texts = ["Bad, bad worms eat badly", "good words eat (well)", "bad \x02odd Words", "wörter ▁ 日本語 good good", "unseen badger worded", None, "", "good\x02wormed"]
+    labels = [1, 0, 1, 0, None, None, None, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sample = spark.createDataFrame([(i, y, 0 if i < 2 else 2) for i, y in enumerate(labels) if y is not None], "id long, label int, fold int")
+    batches = toxicity._batches(docs, sample, "doc_id", "text")
+    known, histories = toxicity._evidence(batches)
+    grams, value = _plain_evidence(texts, labels)
+    got = {r.gram: r["all"] for r in toxicity._gram_values(batches, known, histories, ("all",)).collect()}
+    assert set(got) == {g for t in texts for g in grams(t)}
+    for g in got:
+        assert abs(got[g] - value(g)) < 1e-9, g
+
+
+def test_scores_do_not_depend_on_batches(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    whole = {r.id: r.score for r in toxicity.scored(docs, model).collect()}
+    others = docs.repartition(40)
+    monkeypatch.setattr(toxicity, "ROUNDS", 3)
+    again = {r.id: r.score for r in toxicity.scored(others, model).collect()}
+    assert set(whole) == set(again) and max(abs(whole[k] - again[k]) for k in whole) < 1e-9
+    kept = sorted(r.doc_id for r in toxicity.keep_ordinary(others, model).collect())
+    assert kept == sorted(k for k in whole if whole[k] < toxicity.THRESHOLD)
+
+
+def test_stored_tables_stay_below_the_input(spark):
+    """Texts and the grams of all words took several times the input."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {f for f in folder.rglob("*.parquet")}
+    toxicity.scored(docs, toxicity.fit_toxicity(docs, labels)).collect()
+    stored = sum(f.stat().st_size for f in folder.rglob("*.parquet") if f not in before)
+    assert stored < 2 * Path(f"{SF}/documents.parquet").stat().st_size
